@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_neardup, op6_fingerprints, op8_windows, op9_tokens
+from . import op2_toxicity, op3_neardup, op6_fingerprints, op8_windows, op9_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ FROM grp GROUP BY doc_id, role, g"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity_,
     "op3_near_duplicates": op3_near_duplicates,
     "op6_fingerprints": op6_fingerprints_,
     "op8_substrings": op8_substrings,
