@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import Stored, batch, buckets, gather, pack, split
+from .packed import Stored, batch, buckets, gather, pack, split, without
 from .text import WORD, ids_back, ids_of, mix, shingle_hashes, slices
 
 SHINGLE, WIDTH, CHUNKS, THRESHOLD = 2, 64, 8, 21
@@ -256,5 +256,5 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` but for those of documents that have a near copy of a lesser id in their group."""
-    gone = near_duplicates(docs, threshold, shingle, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, threshold, shingle, id_col, text_col).where("not kept")
+    return without(docs, gone, id_col)

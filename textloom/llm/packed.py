@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def pack(values: np.ndarray, plain: bool = False) -> bytes:
@@ -92,3 +93,16 @@ class Stored:
         jvm = spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``gone`` (doc_id); NULL ids match NULL.
+
+    ``gone`` is written and counted: up to ``BROADCAST_IDS`` ids are broadcast, so that the texts aren't shuffled; more are joined by a shuffle.
+    """
+    ids = Stored(gone.select("doc_id").distinct(), "gone").df
+    small = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, docs[id_col].cast("long").eqNullSafe(ids["doc_id"]), "left_anti")

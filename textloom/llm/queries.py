@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_toxicity, op3_neardup, op6_fingerprints, op8_windows, op9_tokens
+from . import op2_toxicity, op3_neardup, op4_decontamination, op6_fingerprints, op8_windows, op9_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_fingerprints_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_fingerprints.sketch(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ FROM grp GROUP BY doc_id, role, g"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity_,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_decontamination": op4_decontamination_,
     "op6_fingerprints": op6_fingerprints_,
     "op8_substrings": op8_substrings,
     "op9_token_counts": op9_token_counts,
