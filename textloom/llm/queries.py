@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_toxicity, op3_neardup, op4_decontamination, op6_fingerprints, op8_windows, op9_tokens
+from . import op1_mixing, op2_toxicity, op3_neardup, op4_decontamination, op6_fingerprints, op8_windows, op9_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_mixing.mix(_table(spark, sf_dir, "documents"), columns=["doc_id", "source"])
+
+
 def op2_toxicity_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ FROM grp GROUP BY doc_id, role, g"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing_,
     "op2_toxicity": op2_toxicity_,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_decontamination": op4_decontamination_,
