@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_mixing, op2_toxicity, op3_neardup, op4_decontamination, op6_fingerprints, op8_windows, op9_tokens
+from . import op1_mixing, op2_toxicity, op3_neardup, op4_decontamination, op5_urls, op6_fingerprints, op8_windows, op9_tokens, op10_licenses
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op4_decontamination_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+BLOCKED_WORDS = ("casino", "bets", "pills", "ads-")
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return op5_urls.score(pages, op5_urls.train(op5_urls.seeds(pages, BLOCKED_WORDS)))
+
+
 def op6_fingerprints_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_fingerprints.sketch(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +49,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_tokens.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def repeats_sql(size: int) -> str:
     """Windows of so many tokens that occur more than once, as maximal intervals by document and role."""
     return f"""
@@ -62,8 +74,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity_,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_decontamination": op4_decontamination_,
+    "op5_url_filters": op5_url_filters,
     "op6_fingerprints": op6_fingerprints_,
     "op8_substrings": op8_substrings,
     "op9_token_counts": op9_token_counts,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {"op8_substrings": repeats_sql(op8_windows.WINDOW)}
