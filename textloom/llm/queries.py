@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_mixing, op2_toxicity, op3_neardup, op4_decontamination, op5_urls, op6_fingerprints, op8_windows, op9_tokens, op10_licenses
+from . import op1_mixing, op2_toxicity, op3_neardup, op4_decontamination, op5_urls, op6_fingerprints, op7_suffixes, op8_windows, op9_tokens, op10_licenses
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_fingerprints_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_fingerprints.sketch(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_suffixes.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_windows.repeated_windows(_table(spark, sf_dir, "documents"))
 
@@ -76,8 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination_,
     "op5_url_filters": op5_url_filters,
     "op6_fingerprints": op6_fingerprints_,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_substrings": op8_substrings,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
 }
-ORACLE_SQL: dict[str, str] = {"op8_substrings": repeats_sql(op8_windows.WINDOW)}
+ORACLE_SQL: dict[str, str] = {"op7_suffix_dedup": repeats_sql(op7_suffixes.LENGTH), "op8_substrings": repeats_sql(op8_windows.WINDOW)}
