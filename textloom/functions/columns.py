@@ -61,7 +61,7 @@ def merge_indices(counts: str | Column, size: int) -> Column:
 
     def step(state: Column, n: Column) -> Column:
         full = (state["held"] + n > size) & (state["at"] > 0)
-        cut = full & (F.coalesce(F.element_at(state["ends"], -1), F.lit(0)) < state["at"])
+        cut = full & (F.coalesce(F.try_element_at(state["ends"], F.lit(-1)), F.lit(0)) < state["at"])
         return F.struct(F.when(cut, n.cast("long")).otherwise(state["held"] + n).alias("held"), (state["at"] + 1).alias("at"), F.when(cut, F.concat(state["ends"], F.array(state["at"]))).otherwise(state["ends"]).alias("ends"))
 
     done = lambda s: F.when(s["at"] > 0, F.concat(s["ends"], F.array(s["at"]))).otherwise(s["ends"])
@@ -72,7 +72,7 @@ def merge_splits(splits: str | Column, counts: str | Column, size: int) -> Colum
     """array<struct<merged, token_count>>: groups that fit ``size``; unchanged where every count is above it."""
     s, c = _column(splits), _column(counts)
     ends = F.when(F.forall(c, lambda x: x > size), F.sequence(F.lit(1), F.size(c))).otherwise(merge_indices(c, size))
-    pairs = F.transform(ends, lambda e, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.element_at(ends, F.greatest(i, F.lit(1)))).alias("a"), e.alias("z")))
+    pairs = F.transform(ends, lambda e, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(ends, F.greatest(i, F.lit(1)))).alias("a"), e.alias("z")))
 
     def group(p: Column) -> Column:
         part = F.slice(c, p["a"] + 1, p["z"] - p["a"])

@@ -56,7 +56,7 @@ def filter_split_indices(df: DataFrame, value: str = "value", index: str = "idx"
         return kept
     ordered = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).alias("v")))).alias("__all"))
     none = F.array().cast(ordered.schema["__all"].dataType)
-    far = F.aggregate("__all", none, lambda got, x: F.when((F.size(got) == 0) | (x["i"] - F.element_at(got, -1)["i"] >= min_distance), F.concat(got, F.array(x))).otherwise(got))
+    far = F.aggregate("__all", none, lambda got, x: F.when((F.size(got) == 0) | (x["i"] - F.try_element_at(got, F.lit(-1))["i"] >= min_distance), F.concat(got, F.array(x))).otherwise(got))
     return ordered.select(*keys, F.explode(far).alias("__x")).select(*keys, F.col("__x.i").alias(index), F.col("__x.v").alias(value))
 
 
@@ -75,7 +75,7 @@ def merge_groups(df: DataFrame, size: int, split: str = "split", tokens: str = "
     """Each series' splits, greedily joined to groups of ``size`` tokens: keys, group, merged, token_count."""
     from ..functions.columns import merge_splits
 
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(split).alias("s"), F.col(tokens).cast("long").alias("n")))).alias("__all"))
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("n"), F.col(split).alias("s")))).alias("__all"))
     merged = merge_splits(F.transform("__all", lambda x: x["s"]), F.transform("__all", lambda x: x["n"]), size)
     made = rows.select(*keys, F.posexplode_outer(merged).alias("group", "__m")).where("group is not null")
     return made.select(*keys, F.col("group").cast("long").alias("group"), "__m.merged", "__m.token_count")
