@@ -8,7 +8,7 @@ Coverage is the share of the template's words that are aligned.
 
 Defined cases: NULL and empty texts match nothing; a row gives its matches, so repeated rows repeat; an empty table
 gives no rows; a NULL doc_id stays NULL; several copies of a notice give a row each; of templates that match the same words the
-best covered one is named, then the longest, then the first by name; further columns are ignored.
+one with the most aligned words is named, then the best covered, then the first by name; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -145,14 +145,14 @@ def _scanned(shared, coverage: float):
                     for a, z in stretches(t.has[:, k][np.maximum(words, 0)].astype(bool) & (words >= 0), n, coverage * n - 1e-9):
                         got = patience(t.words[k].tolist(), words[a:z].tolist())
                         if len(got) >= coverage * n - 1e-9:
-                            found.setdefault(int(i), []).append((-round(len(got) / n, 6), -n, t.names[k], len(got), a + min(y for _, y in got), a + max(y for _, y in got) + 1))
+                            found.setdefault(int(i), []).append((-len(got), -round(len(got) / n, 6), t.names[k], len(got), a + min(y for _, y in got), a + max(y for _, y in got) + 1))
                 out = []
                 for i, matches in found.items():
                     taken: list[tuple[int, int]] = []
                     for m in sorted(matches):
                         if all(m[5] <= a or m[4] >= z for a, z in taken):
                             taken.append((m[4], m[5]))
-                            out.append((s.rows.start + i, m[2], -m[0], m[3], m[4], m[5]))
+                            out.append((s.rows.start + i, m[2], -m[1], m[3], m[4], m[5]))
                 if out:
                     c = list(zip(*out))
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(c[0])), pa.array(c[1], pa.string()), pa.array(c[2], pa.float64()), *(pa.array(x, pa.int64()) for x in c[3:])], names=["doc_id", "license", "coverage", "n_aligned", "start_token", "end_token"])
