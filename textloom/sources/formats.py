@@ -300,7 +300,7 @@ def _rtf(data: bytes) -> str:
         elif word in _HIDDEN or sign == "*":
             hide[-1] = True
         elif not hide[-1]:
-            out.append(bytes([int(code, 16)]).decode("cp1252", "replace") if code else chr(int(uni) % 65536) if uni else "\n\n" if word == "par" else "\n" if word == "line" else "\t" if word == "tab" else sign if sign in "\\{}" else text)
+            out.append(bytes([int(code, 16)]).decode("cp1252", "replace") if code else chr(int(uni) % 65536) if uni else "\n\n" if word == "par" else "\n" if word == "line" else "\t" if word == "tab" else sign if sign and sign in "\\{}" else text)
     return _joined(re.split(r"\n\s*\n", "".join(out)))
 
 
