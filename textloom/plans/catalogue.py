@@ -279,16 +279,16 @@ def smooth_sql(weights: list[str]) -> str:
 D1, D2 = smooth_sql(["-2/10.0", "-1/10.0", "0", "1/10.0", "2/10.0"]), smooth_sql(["2/7.0", "-1/7.0", "-2/7.0", "-1/7.0", "2/7.0"])
 
 
-@query(REFLECT + " SELECT series, pos, value, round(" + smooth_sql(["-3/35.0", "12/35.0", "17/35.0", "12/35.0", "-3/35.0"]) + ", 6) AS filtered FROM x")
+@query(REFLECT + " SELECT series, pos, value, round(" + smooth_sql(["-3/35.0", "12/35.0", "17/35.0", "12/35.0", "-3/35.0"]) + ", 6) + 0 AS filtered FROM x")
 def savgol_smooth(spark, sf_dir):
     out = series.savgol_filter(_signal(spark, sf_dir))
-    return out.withColumn("filtered", F.round("filtered", 6))
+    return out.withColumn("filtered", F.round("filtered", 6) + 0.0)
 
 
-@query(REFLECT + f" SELECT series, pos, round({D1}, 6) AS filtered FROM x")
+@query(REFLECT + f" SELECT series, pos, round({D1}, 6) + 0 AS filtered FROM x")
 def savgol_d1(spark, sf_dir):
     out = series.savgol_filter(_signal(spark, sf_dir), window=5, poly=2, deriv=1)
-    return out.select("series", "pos", F.round("filtered", 6).alias("filtered"))
+    return out.select("series", "pos", (F.round("filtered", 6) + 0.0).alias("filtered"))
 
 
 @query(REFLECT + f" SELECT series, pos, value, CAST(i AS BIGINT) AS idx FROM x WHERE abs({D1}) < 2 AND {D2} > 0")
