@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .op2_toxicity import Lookup
+from .packed import lean
 from .text import WORD, slices
 
 COVERAGE = 0.8
@@ -165,4 +166,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     if not 0 < coverage <= 1:
         raise ValueError("coverage must be above 0 and at most 1")
     shared = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scanned(shared, coverage), RESULT)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_scanned(shared, coverage)), RESULT)

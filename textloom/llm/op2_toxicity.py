@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import Stored, batch, gather, pack
+from .packed import Stored, batch, drawn, gather, lean, lean_table, pack
 from .text import WORD, ids_of, slices
 
 EXAMPLES, HELD_OUT, LEAST_DF, K, HEAD, BLOCK, EVIDENCE, THRESHOLD = 1024, 4096, 3, 51, 512, 64, 5, 0.5
@@ -38,9 +38,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES
     present = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(present, "doc_id", "left_semi").withColumn("o", F.xxhash64("doc_id", F.lit(7)))
     half = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2))  # one half of the labels for examples, the other held out
-    drawn = [known.where((F.col("toxic") == c) & (half == 0)).orderBy("o", "doc_id").limit(examples).withColumn("held", F.lit(False)) for c in (1, 0)]
-    more = known.where(half == 1).orderBy("o", "doc_id").limit(held_out).withColumn("held", F.lit(True))
-    ids = drawn[0].union(drawn[1]).union(more).select(F.col("doc_id").alias("id"), "toxic", "held")
+    known = Stored(known.select("doc_id", "toxic", "o", (half == 1).alias("held")), "labels").df
+    parts = [drawn(known.where((F.col("toxic") == c) & ~F.col("held")), "o", examples) for c in (1, 0)]
+    ids = parts[0].union(parts[1]).union(drawn(known.where("held"), "o", held_out)).select(F.col("doc_id").alias("id"), "toxic", "held")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = text.join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
     return Stored(found.groupBy("doc_id", "toxic", "held").agg(F.min("text").alias("text")), "labelled")
@@ -111,7 +111,7 @@ def document_frequency(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray,
     """Over all documents, for a vocabulary of bounded size; partial counts are summed by part of the vocabulary."""
     parts = 8
     shared = docs.sparkSession.sparkContext.broadcast(terms)
-    partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_document_frequency(shared, parts), "part int, docs long, counts binary")
+    partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(_document_frequency(shared, parts)), "part int, docs long, counts binary")
 
     def add(table: pa.Table) -> pa.Table:
         total = None
@@ -120,7 +120,7 @@ def document_frequency(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray,
             total = c if total is None else total + c
         return pa.table([pa.array([table["part"][0].as_py()], pa.int32()), pa.array([sum(table["docs"].to_pylist())], pa.int64()), pa.array([pack(total)], pa.binary())], names=["part", "docs", "counts"])
 
-    rows = sorted(partial.groupBy("part").applyInArrow(add, "part int, docs long, counts binary").toArrow().to_pylist(), key=lambda r: r["part"])
+    rows = sorted(partial.groupBy("part").applyInArrow(lean_table(add), "part int, docs long, counts binary").toArrow().to_pylist(), key=lambda r: r["part"])
     if not rows:
         return np.zeros(len(terms), np.int64), 0
     return np.concatenate([gather(pa.array([r["counts"]], pa.binary())) for r in rows]), rows[0]["docs"]
@@ -263,7 +263,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, k: int = K, examples: int = EXAMPLES, held_out: int = HELD_OUT) -> Model:
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, examples, held_out)
-    got = sample.df.where("not held").select("doc_id", "toxic", "text").mapInArrow(_terms, "doc_id long, toxic int, h binary, n binary").toArrow().sort_by("doc_id")
+    got = sample.df.where("not held").select("doc_id", "toxic", "text").mapInArrow(lean(_terms), "doc_id long, toxic int, h binary, n binary").toArrow().sort_by("doc_id")
     ids, toxic = got["doc_id"].to_numpy(), got["toxic"].to_numpy()
     hashes = [gather([x]) for x in got["h"]]
     counts = [gather([x]) for x in got["n"]]
@@ -285,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = K, examples: int = EXAMPLES
             for s, vote, *_ in score(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.rows.start, len(vote)), pa.array(vote)], names=["toxic", "vote"])
 
-    held = sample.df.where("held").select("toxic", "text").mapInArrow(votes, "toxic int, vote double").toArrow()
+    held = sample.df.where("held").select("toxic", "text").mapInArrow(lean(votes), "toxic int, vote double").toArrow()
     vote, y = held["vote"].to_numpy(), held["toxic"].to_numpy()
     known = ~np.isnan(vote)
     if not known.any() and index.n:  # too few labels to hold any out
@@ -313,7 +313,7 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None, thresh
                 evidence = pa.StructArray.from_arrays([pa.array(index.ids[chosen], pa.int64()), pa.array(cosine[some]), pa.array(index.toxic[chosen] > 0.5)], names=["doc_id", "cosine", "toxic"])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.rows.start, rows), pa.array(vote, mask=np.isnan(vote)), pa.array(p), pa.array(p >= threshold), pa.ListArray.from_arrays(pa.array(ends), evidence)], names=["doc_id", "vote", "score", "toxic", "evidence"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), RESULT)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -329,4 +329,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             if keep:
                 yield b.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import Stored, batch, buckets, gather, pack, split, without
+from .packed import Stored, batch, buckets, gather, lean, lean_table, pack, split, without
 from .text import WORD, ids_back, ids_of, mix, shingle_hashes, slices
 
 SHINGLE, WIDTH, CHUNKS, THRESHOLD = 2, 64, 8, 21
@@ -79,7 +79,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
             sig = narrow(m).tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sig[i : i + WIDTH] for i in range(0, len(sig), WIDTH)], pa.binary())], names=["doc_id", "sig"])
 
-    return rows.mapInArrow(narrowed, "doc_id long, sig binary")
+    return rows.mapInArrow(lean(narrowed), "doc_id long, sig binary")
 
 
 def masks(threshold: int) -> list[tuple[int, np.ndarray]]:
@@ -222,18 +222,18 @@ def edges(signed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     if not 0 <= threshold < WIDTH:
         raise ValueError("threshold must be from 0 to 63")
     n = buckets(signed.sparkSession)
-    keyed = signed.mapInArrow(_keys(threshold, n), "bucket int, h binary, doc binary")
-    met = keyed.groupBy("bucket").applyInArrow(lambda t: _sets(gather(t["h"]), gather(t["doc"]), n), _GROUPS)
+    keyed = signed.mapInArrow(lean(_keys(threshold, n)), "bucket int, h binary, doc binary")
+    met = keyed.groupBy("bucket").applyInArrow(lean_table(lambda t: _sets(gather(t["h"]), gather(t["doc"]), n)), _GROUPS)
     groups = met.dropDuplicates(["gid"])
     members = groups.select("bucket", "gid", F.explode("doc").alias("doc_id")).join(signed, "doc_id")
-    return members.groupBy("bucket").applyInArrow(_verified(threshold), "a long, b long").distinct()
+    return members.groupBy("bucket").applyInArrow(lean_table(_verified(threshold)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, group_id (the group's least doc_id), group_size, kept; a row for every document that has a near copy."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
-    raw = rows.mapInArrow(_signed(shingle), "doc_id long, minima binary")
+    raw = rows.mapInArrow(lean(_signed(shingle)), "doc_id long, minima binary")
 
     def merged(table: pa.Table) -> pa.Table:
         doc = ids_of(table["doc_id"])
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
         sig = narrow(np.minimum.reduceat(m, first, axis=0)).tobytes()
         return pa.table([ids_back(doc[first]), pa.array([sig[i : i + WIDTH] for i in range(0, len(sig), WIDTH)], pa.binary())], names=["doc_id", "sig"])
 
-    signed = Stored(raw.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(buckets(spark, 1)))).applyInArrow(merged, "doc_id long, sig binary"), "signatures")
+    signed = Stored(raw.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(buckets(spark, 1)))).applyInArrow(lean_table(merged), "doc_id long, sig binary"), "signatures")
     one = Stored(signed.df.groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "representatives")
     same = signed.df.join(one.df.withColumnRenamed("doc_id", "b"), "sig").where("doc_id <> b").select("doc_id", "b").toDF("a", "b")
     found = components(edges(one.df.select("doc_id", "sig"), threshold).union(same))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .op2_toxicity import Lookup
-from .packed import Stored, batch, gather, pack, without
+from .packed import Stored, batch, gather, lean, lean_table, pack, without
 from .text import WORD, buffers, ids_back, ids_of, slices, tokenise
 
 HALF, RANK, EXTRA, SEED, MOST = 16, 64, 8, 20231101, 0.02
@@ -158,7 +158,7 @@ def _added(table: pa.Table) -> pa.Table:
 
 def _summed(parts: DataFrame) -> tuple[np.ndarray, int]:
     """The sums of the packed arrays by part, joined; their size is the vocabulary's, not the corpus's."""
-    got = sorted(parts.groupBy("part").applyInArrow(_added, "part int, halves long, sums binary").toArrow().to_pylist(), key=lambda r: r["part"])
+    got = sorted(parts.groupBy("part").applyInArrow(lean_table(_added), "part int, halves long, sums binary").toArrow().to_pylist(), key=lambda r: r["part"])
     if not got:
         return np.zeros(0, np.int64), 0
     return np.concatenate([gather(pa.array([r["sums"]], pa.binary())) for r in got]), got[0]["halves"]
@@ -166,7 +166,7 @@ def _summed(parts: DataFrame) -> tuple[np.ndarray, int]:
 
 def term_weights(placed: DataFrame, items: Items) -> np.ndarray:
     """By document frequency over all half-windows; 0 for what is too common to tell anything."""
-    df, n = _summed(placed.select(F.lit(0).alias("part"), "halves", F.col("df").alias("sums")).withColumn("part", F.pmod(F.xxhash64("sums"), F.lit(64)).cast("int")).groupBy("part").applyInArrow(_added, "part int, halves long, sums binary").withColumn("part", F.lit(0)))
+    df, n = _summed(placed.select(F.lit(0).alias("part"), "halves", F.col("df").alias("sums")).withColumn("part", F.pmod(F.xxhash64("sums"), F.lit(64)).cast("int")).groupBy("part").applyInArrow(lean_table(_added), "part int, halves long, sums binary").withColumn("part", F.lit(0)))
     if not n:
         return np.zeros(len(items.terms))
     weight = np.log((1 + n) / (1 + df))
@@ -185,7 +185,7 @@ def latent_axes(placed: DataFrame, weight: np.ndarray, rank: int = RANK) -> np.n
 
     def product(rows: np.ndarray) -> np.ndarray:
         shared = context.broadcast(((weight[:, None] * rows).astype(np.float32), weight > 0))
-        z, _ = _summed(placed.select("doc", "first", "place").mapInArrow(_product(shared), "part int, halves long, sums binary"))
+        z, _ = _summed(placed.select("doc", "first", "place").mapInArrow(lean(_product(shared)), "part int, halves long, sums binary"))
         shared.unpersist()
         return weight[:, None] * (z.reshape(rows.shape) / FIXED if len(z) else np.zeros(rows.shape))
 
@@ -272,13 +272,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: i
     if not len(items.ids):
         return spark.createDataFrame([], RESULT)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    placed = Stored(rows.mapInArrow(_placed(spark.sparkContext.broadcast(items.terms)), "doc binary, first binary, place binary, halves long, df binary"), "places")
+    placed = Stored(rows.mapInArrow(lean(_placed(spark.sparkContext.broadcast(items.terms))), "doc binary, first binary, place binary, halves long, df binary"), "places")
     weight = term_weights(placed.df, items)
     latent = np.ascontiguousarray(weight[:, None] * latent_axes(placed.df, weight, rank), np.float32)
     queries = np.array([latent[p - 1].sum(axis=0) for p in items.places], np.float32).T
     queries /= np.maximum(np.sqrt((queries**2).sum(axis=0)), 1e-9)
     shared = spark.sparkContext.broadcast((items, latent, queries, weight > 0))
-    found = Stored(placed.df.select("doc", "first", "place").mapInArrow(_matched(shared, cosine), RESULT), "leaks")
+    found = Stored(placed.df.select("doc", "first", "place").mapInArrow(lean(_matched(shared, cosine)), RESULT), "leaks")
     placed.drop()
     first = W.partitionBy("doc_id", "item_id").orderBy(F.desc("coverage"), F.desc("answer_coverage"), F.desc("cosine"), "start_token", "end_token")
     return found.df.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .packed import drawn, lean
 from .text import buffers
 
 SAMPLE, ROUNDS, DEPTH, RATE, BINS, LAMBDA, SMOOTH, FOLDS = 20_000, 40, 3, 0.3, 32, 1.0, 20.0, 5
@@ -148,7 +149,7 @@ class Trees:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Trees:
     """From (url, label); rows with NULLs don't count. At most ``sample`` rows, drawn by hash, reach the driver."""
     rows = labelled.select(F.col("url").cast("string").alias("url"), F.col("label").cast("int").alias("label")).dropna()
-    rows = rows.orderBy(F.xxhash64("url", F.lit(3)), "url", "label").limit(sample).toArrow()
+    rows = drawn(rows.withColumn("o", F.xxhash64("url", F.lit(3))), "o", sample).toArrow()
     return Trees(rows["url"].to_pylist(), rows["label"].to_numpy())
 
 
@@ -172,4 +173,4 @@ def score(pages: DataFrame, model: Trees, threshold: float = 0.5) -> DataFrame:
             none = np.array(pc.fill_null(pc.equal(pc.binary_length(url), 0), True))
             yield pa.RecordBatch.from_arrays([b.column(0), url, pa.array(p, mask=none), pa.array((p >= threshold) & ~none)], names=["page_id", "url", "score", "blocked"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(run, RESULT)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(lean(run), RESULT)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .packed import lean
 from .text import WORD, shingle_hashes, slices
 
 SIZE, SCALE = 5, 20
@@ -48,7 +49,7 @@ def sketch(docs: DataFrame, size: int = SIZE, scale: int = SCALE, id_col: str =
     """doc_id, the number of distinct shingles, and the sketch. No shuffle."""
     if size < 1 or scale < 1:
         raise ValueError("size and scale must be positive")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_sketches(size, scale), RESULT)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_sketches(size, scale)), RESULT)
 
 
 def containment(a: str | Column, b: str | Column) -> Column:

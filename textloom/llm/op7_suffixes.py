@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .op8_windows import RESULT, intervals, send_found
-from .packed import Stored, batch, buckets, gather, pack, split, unpack
+from .packed import Stored, batch, buckets, gather, lean, lean_pair, lean_table, pack, split, unpack
 from .text import RAW, buffers, ids_of, mix, slices, window_hashes, window_starts
 
 LENGTH, ANCHOR, FLUSH, SPLITTERS = 50, 25, 1_000_000, 32
@@ -425,33 +425,33 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     size = max(2, length // 2) if length != LENGTH else ANCHOR
     m = max(4, n // 4)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    near = rows.mapInArrow(_anchored(length, size, n), _ddl(_SENT)).groupBy("bucket").applyInArrow(_repeated(n), _ddl(_NEAR))
+    near = rows.mapInArrow(lean(_anchored(length, size, n)), _ddl(_SENT)).groupBy("bucket").applyInArrow(lean_table(_repeated(n)), _ddl(_NEAR))
     near = Stored(near, "anchors")
-    texts = rows.mapInArrow(_housed(n), "bucket int, doc_id long, text string")
-    found = texts.groupBy("bucket").cogroup(near.df.groupBy("bucket")).applyInArrow(_regions(length, size, n), _ddl(_REGION))
-    regions = Stored(found.groupBy("chunk").applyInArrow(_distinct(m), _ddl(_REGION)), "regions")
+    texts = rows.mapInArrow(lean(_housed(n)), "bucket int, doc_id long, text string")
+    found = texts.groupBy("bucket").cogroup(near.df.groupBy("bucket")).applyInArrow(lean_pair(_regions(length, size, n)), _ddl(_REGION))
+    regions = Stored(found.groupBy("chunk").applyInArrow(lean_table(_distinct(m)), _ddl(_REGION)), "regions")
     near.drop()
     chunks, copies = regions.df.where("chunk >= 0"), regions.df.where("chunk < 0")
-    drawn = chunks.mapInArrow(_drawn, "a long, b long, c long").toArrow()
+    drawn = chunks.mapInArrow(lean(_drawn), "a long, b long, c long").toArrow()
     triples = np.stack([drawn[k].to_numpy().view(U64) for k in "abc"], axis=1) if drawn.num_rows else np.zeros((0, 3), U64)
     triples = triples[np.lexsort(triples.T[::-1])]
     splitters = np.unique(triples[np.linspace(0, len(triples) - 1, n + 1).astype(int)[1:-1]], axis=0) if len(triples) else triples
     shared = spark.sparkContext.broadcast(splitters)
     ranges = len(splitters) + 1
-    named = chunks.mapInArrow(_first_triples(shared), _ddl(_TRIPLE)).groupBy("bucket").applyInArrow(lambda t: _named(t, False), _ddl(_NAMED))
-    state = Stored(chunks.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(_updated(False), _ddl(_NAMED)), "names")
+    named = chunks.mapInArrow(lean(_first_triples(shared)), _ddl(_TRIPLE)).groupBy("bucket").applyInArrow(lean_table(lambda t: _named(t, False)), _ddl(_NAMED))
+    state = Stored(chunks.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(lean_pair(_updated(False)), _ddl(_NAMED)), "names")
     covered = 3
     while covered < length:
         joined = chunks.join(state.df.drop("at"), "chunk")
-        named = joined.mapInArrow(_next_triples(covered, ranges), _ddl(_TRIPLE)).groupBy("bucket").applyInArrow(lambda t: _named(t, True), _ddl(_NAMED))
-        after = Stored(state.df.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(_updated(True), _ddl(_NAMED)), "names")
+        named = joined.mapInArrow(lean(_next_triples(covered, ranges)), _ddl(_TRIPLE)).groupBy("bucket").applyInArrow(lean_table(lambda t: _named(t, True)), _ddl(_NAMED))
+        after = Stored(state.df.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(lean_pair(_updated(True)), _ddl(_NAMED)), "names")
         state.drop()
         state, covered = after, covered * 3
-    suffixes = chunks.join(state.df.drop("at"), "chunk").mapInArrow(_suffixes(shared, length), _ddl(_SUFFIX))
+    suffixes = chunks.join(state.df.drop("at"), "chunk").mapInArrow(lean(_suffixes(shared, length)), _ddl(_SUFFIX))
     kind = "bucket int, doc binary, pos binary, later binary"
-    hits = suffixes.groupBy("bucket").applyInArrow(_adjacent(m), kind)
-    hits = hits.union(copies.mapInArrow(_copies(length, m), kind))
-    result = Stored(hits.groupBy("bucket").applyInArrow(intervals(length), RESULT), "intervals")
+    hits = suffixes.groupBy("bucket").applyInArrow(lean_table(_adjacent(m)), kind)
+    hits = hits.union(copies.mapInArrow(lean(_copies(length, m)), kind))
+    result = Stored(hits.groupBy("bucket").applyInArrow(lean_table(intervals(length)), RESULT), "intervals")
     regions.drop(), state.drop()
     return result.df
 
@@ -506,4 +506,4 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(spans["__id"]), "left").select(*[docs[c] for c in docs.columns], spans["__spans"])
     at = docs.columns.index("text")
     size_at = docs.columns.index("n_chars") if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, T.IntegralType) else None
-    return joined.mapInArrow(_cut(at, len(docs.columns), size_at, len(docs.columns)), docs.schema)
+    return joined.mapInArrow(lean(_cut(at, len(docs.columns), size_at, len(docs.columns))), docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import batch, buckets, gather, pack, split
+from .packed import batch, buckets, gather, lean, lean_table, pack, split
 from .text import RAW, ids_back, ids_of, mix, slices, window_hashes, window_starts
 
 WINDOW = 50
@@ -111,10 +111,10 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id"
         raise ValueError("size must be positive")
     n = n or buckets(docs.sparkSession)
     m = max(4, n // 4)
-    sent = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(hashed_windows(size, n), "bucket int, h binary, doc binary, pos binary")
+    sent = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(hashed_windows(size, n)), "bucket int, h binary, doc binary, pos binary")
 
     def repeats(table: pa.Table) -> pa.Table:
         return send_found(*occurrences(gather(table["h"]), gather(table["doc"]), gather(table["pos"])), m)
 
-    found = sent.groupBy("bucket").applyInArrow(repeats, "bucket int, doc binary, pos binary, later binary")
-    return found.groupBy("bucket").applyInArrow(intervals(size), RESULT)
+    found = sent.groupBy("bucket").applyInArrow(lean_table(repeats), "bucket int, doc binary, pos binary, later binary")
+    return found.groupBy("bucket").applyInArrow(lean_table(intervals(size)), RESULT)

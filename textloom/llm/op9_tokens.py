@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packed import lean
 from .text import RAW, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -135,4 +136,4 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "d
     both = pieces(vocabulary)
     name = hashlib.md5(repr(both).encode()).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(both)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_counts(shared, name), RESULT)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_counts(shared, name)), RESULT)

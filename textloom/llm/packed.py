@@ -6,6 +6,7 @@ and deflated by zstd, so that ids and positions, which differ in their low bytes
 
 from __future__ import annotations
 
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -18,6 +19,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system, so that a worker kept for the next task holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
+def lean(run):
+    """A mapInArrow function that trims when it ends."""
+
+    def lean_run(batches):
+        yield from run(batches)
+        trim()
+
+    return lean_run
+
+
+def lean_table(run):
+    """An applyInArrow function of a group that trims when it ends."""
+
+    def lean_run(table):
+        out = run(table)
+        trim()
+        return out
+
+    return lean_run
+
+
+def lean_pair(run):
+    """An applyInArrow function of two co-grouped tables that trims when it ends."""
+
+    def lean_run(left, right):
+        out = run(left, right)
+        trim()
+        return out
+
+    return lean_run
+
+
 def pack(values: np.ndarray, plain: bool = False) -> bytes:
     """One array as bytes; ``plain`` skips deflation, for hashes."""
     values = np.ascontiguousarray(values)
@@ -106,3 +148,16 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     ids = Stored(gone.select("doc_id").distinct(), "gone").df
     small = ids.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if small else ids, docs[id_col].cast("long").eqNullSafe(ids["doc_id"]), "left_anti")
+
+
+def drawn(rows: DataFrame, order: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those least by the hash column ``order``.
+
+    Rows are counted first, and those whose hash can't be among the least are dropped where they are, so that what the tasks
+    send to the driver stays near ``most`` however many they are.
+    """
+    share = min(1.0, 2.0 * most / max(1, rows.count()))
+    if share < 1:
+        limit = int(-(1 << 63) + share * ((1 << 64) - 1))
+        rows = rows.where(F.col(order) <= F.lit(limit))
+    return rows.orderBy(order, *[c for c in rows.columns if c != order]).limit(most)

@@ -112,16 +112,19 @@ def slices(column, table: np.ndarray = RAW, lower: bool = False, target: int = 1
     """The rows in runs of about ``target`` bytes (one row at least)."""
     if len(column) == 0:
         return
-    if lower:
-        if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
-            column = column.cast(pa.string())
-        column = pc.utf8_lower(column)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if lower and not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        column = column.cast(pa.string())
     buf, offs = buffers(column)
     at, n = 0, len(offs) - 1
     while at < n:
         to = int(np.searchsorted(offs, offs[at] + target, side="right")) - 1
         to = min(n, max(to, at + 1))
-        yield tokenise(buf, offs[at : to + 1], table, slice(at, to))
+        if lower:
+            yield tokenise(*buffers(pc.utf8_lower(column.slice(at, to - at))), table, slice(at, to))
+        else:
+            yield tokenise(buf, offs[at : to + 1], table, slice(at, to))
         at = to
 
 
