@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .op8_windows import RESULT, intervals, send_found
 from .packed import Stored, batch, buckets, gather, lean, lean_pair, lean_table, pack, split, unpack
-from .text import RAW, buffers, ids_of, mix, slices, window_hashes, window_starts
+from .text import NULL_ID, RAW, buffers, ids_of, mix, slices, window_hashes, window_starts
 
 LENGTH, ANCHOR, FLUSH, SPLITTERS = 50, 25, 1_000_000, 32
 U64 = np.uint64
@@ -116,7 +116,13 @@ def _repeated(n: int):
 
 
 def _home(doc: np.ndarray, n: int) -> np.ndarray:
-    return mix(doc.astype(U64)) % U64(n)
+    """A document's bucket; ``_home_column`` gives the same in the JVM, so that texts need not pass through Python for it."""
+    return (doc ^ (doc >> 20)) % n
+
+
+def _home_column(doc: str, n: int):
+    c = F.coalesce(F.col(doc), F.lit(NULL_ID))
+    return F.pmod(c.bitwiseXOR(F.shiftright(c, 20)), F.lit(n)).cast("int")
 
 
 def _regions(length: int, size: int, n: int):
@@ -427,7 +433,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     near = rows.mapInArrow(lean(_anchored(length, size, n)), _ddl(_SENT)).groupBy("bucket").applyInArrow(lean_table(_repeated(n)), _ddl(_NEAR))
     near = Stored(near, "anchors")
-    texts = rows.mapInArrow(lean(_housed(n)), "bucket int, doc_id long, text string")
+    texts = rows.select(_home_column("doc_id", n).alias("bucket"), "doc_id", "text")
     found = texts.groupBy("bucket").cogroup(near.df.groupBy("bucket")).applyInArrow(lean_pair(_regions(length, size, n)), _ddl(_REGION))
     regions = Stored(found.groupBy("chunk").applyInArrow(lean_table(_distinct(m)), _ddl(_REGION)), "regions")
     near.drop()
@@ -456,14 +462,6 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     return result.df
 
 
-def _housed(n: int):
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_home(ids_of(b.column(0)), n).astype(np.int32)), b.column(0), b.column(1)], names=["bucket", "doc_id", "text"])
-
-    return run
-
-
 def _cut(at: int, spans_at: int, size_at: int | None, width: int):
     """mapInArrow function: the texts without their spans of tokens; rows that nothing is left of go."""
 
