@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -19,8 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_trimmed = [0.0]
+
+
 def trim() -> None:
-    """Gives memory that is free back to the system, so that a worker kept for the next task holds little."""
+    """Gives memory that is free back to the system, so that a worker kept for the next task holds little; every 2 seconds at most."""
+    if time.monotonic() - _trimmed[0] < 2:
+        return
+    _trimmed[0] = time.monotonic()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
