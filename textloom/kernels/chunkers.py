@@ -12,7 +12,7 @@ from . import signals
 from .spans import PREV, Counter, Span, encode_all, include_mode, is_blank, lines, pack, split
 
 Piece = tuple[int, int, int]
-SENTENCE_ENDS = (". ", "! ", "? ", "\n")
+SENTENCE_ENDS = (*(c + " " for c in ".!?"), "\n")
 
 
 def _positive(**values: int) -> None:
@@ -108,9 +108,9 @@ class Level:
 
 
 DEFAULT_LEVELS = (
-    Level("delimiters", ("\n\n", "\r\n", "\n", "\r")),
-    Level("delimiters", (". ", "! ", "? ")),
-    Level("delimiters", ("{", "}", '"', "[", "]", "<", ">", "(", ")", ":", ";", ",", "—", "|", "~", "-", "...", "`", "'")),
+    Level("delimiters", ("\n" * 2, *("\r\n \n \r".split(" ")))),
+    Level("delimiters", SENTENCE_ENDS[:3]),
+    Level("delimiters", (*'{}"[]<>():;,—|~-', "...", *"`'")),
     Level("whitespace"),
     Level("token"),
 )

@@ -9,11 +9,13 @@ from itertools import accumulate
 from . import chunkers as K
 from .spans import counter
 
-HEADING = re.compile(r" {0,3}(#{1,6})(?:\s+(.*?))?\s*$")
-FENCE = re.compile(r" {0,3}(`{3,}|~{3,})\s*(\S*)")
-RULE = re.compile(r" {0,3}(-{3,}|\*{3,}|_{3,})\s*$")
-DASHES = re.compile(r" {0,3}\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
-ITEM = re.compile(r" {0,3}(?:[-*+]|\d{1,9}[.)])\s+")
+_EDGE = r"\x20{0,3}"
+_CELL = r"\s*:?-+:?\s*"
+HEADING = re.compile(_EDGE + r"(\#{1,6})(?:\s+(.*?))?\s*\Z")
+FENCE = re.compile(_EDGE + r"(```+|~~~+)\s*(\S*)")
+RULE = re.compile(_EDGE + r"([-*_])\1\1+\s*\Z")
+DASHES = re.compile(_EDGE + rf"\|?{_CELL}(?:\|{_CELL})*\|?\s*\Z")
+ITEM = re.compile(_EDGE + r"(?:[-*+]|\d{1,9}[.)])\s+")
 WHOLE = ("table", "code")
 
 
@@ -22,9 +24,9 @@ class Segment:
     """A structural span: offsets in code points and bytes, the titles it stands under, a fence's language."""
 
     kind: str
-    char_start: int
+    char_start: int  # code points
     char_end: int
-    byte_start: int
+    byte_start: int  # the same place in UTF-8
     byte_end: int
     heading_path: tuple[str, ...] = ()
     lang: str | None = None
@@ -37,8 +39,8 @@ class Segment:
         return self.char_end <= self.char_start
 
 
-def _blank(line: str) -> bool:
-    return not line.strip()
+def _blank(row: str) -> bool:
+    return not row or row.isspace()
 
 
 class _Reader:
@@ -72,11 +74,11 @@ class _Reader:
         return self.until(at + 1, lambda row: _blank(row) or HEADING.match(row) or FENCE.match(row) or ITEM.match(row) or row.lstrip().startswith(">"))
 
 
-def segment_markdown(markdown: str) -> list[Segment]:
+def segment_markdown(md: str) -> list[Segment]:
     """Segments in order; what lies between them is blank."""
-    rows = markdown.splitlines(keepends=True)
+    rows = md.splitlines(keepends=True)
     chars = [0, *accumulate(map(len, rows))]
-    octets = chars if markdown.isascii() else [0, *accumulate(len(r.encode()) for r in rows)]
+    octets = chars if md.isascii() else [0, *accumulate(len(r.encode()) for r in rows)]
     read, out, path, at = _Reader(rows), [], [], 0
     while (at := read.until(at, lambda row: not _blank(row))) < read.n:
         row, lang = rows[at], None
@@ -101,14 +103,14 @@ def segment_markdown(markdown: str) -> list[Segment]:
     return out
 
 
-def descends_into(outer: tuple[str, ...], inner: tuple[str, ...]) -> bool:
-    return tuple(inner)[: len(outer)] == tuple(outer)
+def descends_into(above, below) -> bool:
+    """Whether one heading path is the other or a part of it."""
+    return all(a == b for a, b in zip(above, below)) and len(above) <= len(below)
 
 
 def merge_small_segments(segments: list[Segment], least: int, respect_headings: bool = True) -> list[list[Segment]]:
     """Short segments take the next ones in until they reach ``least`` code points; tables and code stay alone."""
-    groups: list[list[Segment]] = []
-    growing = False
+    groups, growing = [], False
     for s in segments:
         if growing and s.kind not in WHOLE and (not respect_headings or descends_into(groups[-1][-1].heading_path, s.heading_path)):
             groups[-1].append(s)
@@ -123,7 +125,7 @@ def group_span(group: list[Segment]) -> Segment:
     """The one segment that covers a group."""
     a, z = group[0], group[-1]
     kinds = {s.kind for s in group} - {"heading", "rule"}
-    kind = a.kind if len(group) == 1 else kinds.pop() if len(kinds) == 1 else "prose"
+    (kind,) = (a.kind,) if len(group) == 1 else kinds if len(kinds) == 1 else ("prose",)
     return Segment(kind, a.char_start, z.char_end, a.byte_start, z.byte_end, z.heading_path, a.lang)
 
 
@@ -144,7 +146,7 @@ def _kernel(options):
 class DocumentOptions:
     """Chunkers by kind of segment, as options or as functions of bytes; None sends tables or code to ``chunker``."""
 
-    def __init__(self, chunker=None, table_chunker=_UNSET, code_chunker=_UNSET, respect_headings: bool = True, merge_small_segments: bool = True, min_chunk_size: int = 256):
+    def __init__(self, chunker=None, min_chunk_size: int = 256, respect_headings: bool = True, table_chunker=_UNSET, merge_small_segments: bool = True, code_chunker=_UNSET):
         if min_chunk_size < 0:
             raise ValueError("min_chunk_size must not be negative")
         self.chunker = chunker or K.RecursiveOptions()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.embedders import CharTokenEmbedder, TopicEmbedder
+from ..kernels.chunkers import SENTENCE_ENDS
 from ..operators import chunking as ops
 from ..operators import documents, series
 
@@ -110,7 +111,7 @@ PATTERNS = r"list_filter(regexp_extract_all(text, '(?s)(.*?(?:\. |! |\? |\n)|.+$
 
 @query(segments_sql(PATTERNS))
 def split_patterns(spark, sf_dir):
-    return ops.split_text(texts(spark, sf_dir), (". ", "! ", "? ", "\n")).select("doc_id", "pos", "segment")
+    return ops.split_text(texts(spark, sf_dir), SENTENCE_ENDS).select("doc_id", "pos", "segment")
 
 
 MERGED = f"""
@@ -126,7 +127,7 @@ merged AS (SELECT doc_id, list_append(done, held) AS m FROM fold WHERE i = len(s
 
 @query(MERGED + " SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, m[i] AS segment FROM merged, unnest(range(1, len(m) + 1)) AS r(i)")
 def split_min(spark, sf_dir):
-    return ops.split_text(texts(spark, sf_dir), (". ", "! ", "? ", "\n"), min_chars=12).select("doc_id", "pos", "segment")
+    return ops.split_text(texts(spark, sf_dir), SENTENCE_ENDS, min_chars=12).select("doc_id", "pos", "segment")
 
 
 @query(segments_sql(r"regexp_extract_all(text, '([^\n]*\n|[^\n]+$)', 1)"))
@@ -226,7 +227,7 @@ SELECT CAST(k AS BIGINT) AS k, CAST(p // 5 AS BIGINT) AS chunk_index, CAST(count
        '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(r, '' ORDER BY p) AS text
 FROM numbered GROUP BY k, p // 5""")
 def table_md_rows(spark, sf_dir):
-    made = _customers(spark, sf_dir, "| key | name |\n| --- | --- |\n", F.concat(F.lit("| "), F.col("c_custkey").cast("string"), F.lit(" | "), F.col("c_name"), F.lit(" |\n")), "")
+    made = _customers(spark, sf_dir, "| key | name |\n" + "| --- " * 2 + "|\n", F.concat(F.lit("| "), F.col("c_custkey").cast("string"), F.lit(" | "), F.col("c_name"), F.lit(" |\n")), "")
     return ops.chunk_table(made, chunk_size=5).select("k", "chunk_index", "token_count", "text")
 
 

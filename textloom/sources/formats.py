@@ -72,8 +72,9 @@ def _sniffed(data: bytes) -> str | None:
 
 def resolve_format(data: bytes, format: str | None = None, filename: str | None = None) -> str:
     """The given format, else a text suffix, else the content's signature, else the suffix."""
-    if format is not None:
-        name = format.lower().lstrip(".")
+    given = None if format is None else format.lower().lstrip(".")
+    if given is not None:
+        name = given
         name = {"markdown": "md", "text": "txt"}.get(name, name)
         if name not in SUPPORTED | PASS_THROUGH:
             raise ValueError(f"unsupported format {format!r}; known: {', '.join(sorted(SUPPORTED | {'md', 'txt'}))}")
