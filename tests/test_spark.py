@@ -160,3 +160,19 @@ def test_other_queries_run(spark, small, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_bytes_all_takes_every_document(spark, tmp_path):
+    rows = [(1, "Grüße. Ein Satz? " * 30), (2, "漢字と🩺。" * 90), (3, "plain. text\n" * 40), (4, ""), (5, None), (6, "ß" * 99 + "." + "é" * 150)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, t in rows:
+        data, at, k = (t or "").encode(), 0, 0
+        while at < len(data):
+            cut = len(data)
+            if cut - at > 200:
+                cut = max((e + 1 for e in range(at, at + 200) if data[e] in b"\n.?" and e > at), default=at + 200)
+            want.append((i, k, at, cut))
+            at, k = cut, k + 1
+    got = entry.queries()["bytes_all"](spark, str(tmp_path))
+    assert sorted((r.doc_id, r.chunk_index, r.start_index, r.end_index) for r in got.collect()) == want

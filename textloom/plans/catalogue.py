@@ -208,6 +208,15 @@ def bytes_default(spark, sf_dir):
     return ops.chunk_offsets(ascii_only, size=200)
 
 
+#: Each character as so many ASCII ones as it has bytes in UTF-8, so that the SQL's places are bytes.
+ONE_BYTE_EACH = "regexp_replace(regexp_replace(regexp_replace(text, '[\\x{80}-\\x{7FF}]', 'xx', 'g'), '[\\x{800}-\\x{FFFF}]', 'xxx', 'g'), '[\\x{10000}-\\x{10FFFF}]', 'xxxx', 'g')"
+
+
+@query(bytes_sql(200).replace("SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) = strlen(text)", f"SELECT doc_id, {ONE_BYTE_EACH} AS text, strlen(documents.text) AS n FROM documents"))
+def bytes_all(spark, sf_dir):
+    return ops.chunk_offsets(texts(spark, sf_dir), size=200)
+
+
 @query()
 def bytes_patterns(spark, sf_dir):
     return ops.chunk_offsets(texts(spark, sf_dir), size=200, delimiters="\n", patterns=[". ", "tion ", "é", "ß "], prefix=True, forward_fallback=True)
