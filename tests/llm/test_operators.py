@@ -531,6 +531,17 @@ def test_license_scan(spark, awkward, empty):
         op10_licenses.scan(empty, coverage=0)
 
 
+def test_license_scan_finds_close_copies(spark):
+    t = op10_licenses.TEMPLATES
+    sparse = "Released xx under yy the MIT License. Released under the MIT License."
+    rows = [(1, t["Proprietary"] + " " + t["Proprietary"], "a"), (2, " ".join([t["Proprietary"]] * 6), "a"), (3, t["MIT"] * 2, "a"), (4, sparse, "a"), (5, " ".join([t["GPL-3.0 header"]] * 3), "a"), (6, t["MIT"] + " a b " + t["Proprietary"] * 2 + t["MIT"], "a")]
+    found = op10_licenses.scan(docs(spark, rows)).collect()
+    spans = {i: sorted((r.start_token, r.end_token) for r in found if r.doc_id == i) for i, *_ in rows}
+    assert spans[1] == [(0, 3), (3, 6)] and spans[2] == [(3 * k, 3 * k + 3) for k in range(6)]
+    assert spans[3] == [(0, 5), (5, 10)] and spans[4] == [(0, 7), (7, 12)] and len(spans[5]) == 3
+    assert spans[6] == [(0, 5), (7, 10), (10, 13), (13, 18)]
+
+
 # the pipeline
 
 

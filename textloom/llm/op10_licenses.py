@@ -95,21 +95,41 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def stretches(hit: np.ndarray, n: int, least: float) -> list[tuple[int, int]]:
-    """Disjoint stretches of the tokens that hold ``least`` hits within half as many tokens again as the template has; the densest first in each run."""
-    wide = n + n // 2 + 1
+def copies(template: list[int], words: list[int], hit: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+    """Disjoint (start, end, aligned words) of a template's copies: ``least`` words aligned in a stretch half as long again as the template.
+
+    In a range of the tokens, starts are tried from the left until one aligns; of the starts within that copy the one with the
+    most aligned words, then the shortest, counts, and what lies before and after its aligned words are ranges of their own.
+    """
+    n, kinds = len(template), set(template)
+    wide, spare = n + n // 2 + 1, n - len(kinds)
     total = np.concatenate([[0], np.cumsum(hit)])
-    start = np.arange(max(1, len(hit) - wide + 1))
-    count = total[np.minimum(start + wide, len(hit))] - total[start]
-    good = np.flatnonzero(count >= least)
+    places = np.flatnonzero(hit)
     found = []
-    at = 0
-    while at < len(good):
-        run = good[at : np.searchsorted(good, good[at] + wide)]
-        best = int(run[np.argmax(count[run])])
-        found.append((best, min(best + wide, len(hit))))
-        at = int(np.searchsorted(good, best + max(n, int(np.flatnonzero(hit[best : best + wide])[-1]) + 1)))
-    return found
+    todo = [(0, len(words))]
+    while todo:
+        lo, hi = todo.pop()
+        start = places[np.searchsorted(places, lo) : np.searchsorted(places, hi)]  # a copy starts at an aligned word
+        start = start[total[np.minimum(start + wide, hi)] - total[start] >= least]
+        best, first, end = None, hi, hi
+        for a in start.tolist():
+            if a >= end:
+                break
+            near = words[a : min(a + wide, hi)]
+            if len(kinds.intersection(near)) + spare < least:
+                continue
+            got = patience(template, near)
+            if len(got) < least:
+                continue
+            x, y = a + got[0][1], a + got[-1][1] + 1
+            first, end = min(first, a), min(end, y)
+            if best is None or (-len(got), y - x) < best[:2]:
+                best = (-len(got), y - x, x, y)
+        if best:
+            _, _, x, y = best
+            found.append((x, y, -best[0]))
+            todo += [(max(lo, min(first, x - wide)), x), (y, hi)]  # stretches from further left end before x and didn't align
+    return sorted(found)
 
 
 class Templates:
@@ -143,10 +163,9 @@ def _scanned(shared, coverage: float):
                 for i, k in zip(*np.nonzero(reach >= coverage * t.size - 1e-9)):
                     words = term[s.first[i] : s.first[i + 1]]
                     n = int(t.size[k])
-                    for a, z in stretches(t.has[:, k][np.maximum(words, 0)].astype(bool) & (words >= 0), n, coverage * n - 1e-9):
-                        got = patience(t.words[k].tolist(), words[a:z].tolist())
-                        if len(got) >= coverage * n - 1e-9:
-                            found.setdefault(int(i), []).append((-len(got), -round(len(got) / n, 6), t.names[k], len(got), a + min(y for _, y in got), a + max(y for _, y in got) + 1))
+                    hit = t.has[:, k][np.maximum(words, 0)].astype(bool) & (words >= 0)
+                    for a, z, aligned in copies(t.words[k].tolist(), words.tolist(), hit, coverage * n - 1e-9):
+                        found.setdefault(int(i), []).append((-aligned, -round(aligned / n, 6), t.names[k], aligned, a, z))
                 out = []
                 for i, matches in found.items():
                     taken: list[tuple[int, int]] = []
