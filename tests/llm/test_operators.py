@@ -138,6 +138,25 @@ def test_nearest_is_exact():
         np.testing.assert_array_equal(top, full[0])
 
 
+def test_toxicity_counts_rare_terms(spark):
+    rows, labels = toxic_rows(200)
+    rows = [(i, f"{t} once{i} twice{i // 8}", s) for i, t, s in rows]
+    table, labels = docs(spark, rows), spark.createDataFrame(labels, LABELS)
+    sample = op2_toxicity.labelled_sample(table, labels)
+    examples = {r.doc_id for r in sample.df.where("not held").collect()}
+    sample.drop()
+    counts = {i: Counter(t.split()) for i, t, _ in rows}
+    df, known = Counter(w for c in counts.values() for w in c), set().union(*(counts[i] for i in examples))
+    assert any(f"once{i}" in known for i in counts)
+    weight = {i: {w: (1 + np.log(n)) * (1 + np.log((1 + len(rows)) / (1 + df[w]))) for w, n in c.items() if w in known} for i, c in counts.items()}
+    norm = {i: np.sqrt(sum(x * x for x in w.values())) for i, w in weight.items()}
+    for r in op2_toxicity.score(table, labels).collect():
+        a = weight[r.doc_id]
+        want = {j: sum(x * weight[j].get(w, 0) for w, x in a.items()) / norm[r.doc_id] / norm[j] for j in examples}
+        np.testing.assert_allclose([e.cosine for e in r.evidence], sorted(want.values(), reverse=True)[: len(r.evidence)], atol=5e-6)
+        np.testing.assert_allclose([e.cosine for e in r.evidence], [want[e.doc_id] for e in r.evidence], atol=5e-6)
+
+
 def test_isotonic():
     at, p = op2_toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.3, 0.9]), np.array([0, 1, 0, 0, 1]))
     np.testing.assert_allclose(at, [0.1, 0.2, 0.9])

@@ -1,9 +1,10 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, over a block-max inverted index.
 
 The labelled examples are a bounded sample (``EXAMPLES`` of either class, ``HELD_OUT`` more of any class for
-calibration), drawn by hash of the id; the space is spanned by the terms of 3 examples or more, weighted
+calibration), drawn by hash of the id; the space is spanned by all terms of the examples, weighted
 (1 + ln tf) * (1 + ln((1 + N) / (1 + df))), with df and N counted over all documents.  Everything else runs over all
-documents and whole texts, every document being a query.
+documents and whole texts, every document being a query.  A document's terms that no example has are outside the space
+and not in its norm; they would lower all its cosines by one factor, which neither the order nor the vote depends on.
 
 The index keeps the terms' lists in two parts.  Lists of rare terms are added up for every example.  Lists of the
 ``HEAD`` commonest terms are kept by block of 64 examples with the block's maximum of each term, which bounds the
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .packed import Stored, batch, drawn, gather, lean, lean_table, pack
 from .text import WORD, ids_of, slices
 
-EXAMPLES, HELD_OUT, LEAST_DF, K, HEAD, BLOCK, EVIDENCE, THRESHOLD = 1024, 4096, 3, 51, 512, 64, 5, 0.5
+EXAMPLES, HELD_OUT, K, HEAD, BLOCK, EVIDENCE, THRESHOLD = 1024, 4096, 51, 512, 64, 5, 0.5
 _TERMS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("h", pa.binary()), ("n", pa.binary())])
 RESULT = "doc_id long, vote double, score double, toxic boolean, evidence array<struct<doc_id: long, cosine: double, toxic: boolean>>"
 
@@ -198,10 +199,9 @@ def _scored(shared, k: int):
 
     def run(column):
         index, look = shared.value, None
-        look = _lookups.get(id(index))
-        if look is None:
-            _lookups.clear()
-            look = _lookups[id(index)] = Lookup(index.terms)
+        look = _lookups.get("last")
+        if look is None or look.terms is not index.terms:  # an id would be used again once its index is gone
+            look = _lookups["last"] = Lookup(index.terms)
         for s in slices(column, WORD, lower=True, target=1 << 19):
             rows = len(s.first) - 1
             if not index.n:
@@ -267,14 +267,13 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = K, examples: int = EXAMPLES
     ids, toxic = got["doc_id"].to_numpy(), got["toxic"].to_numpy()
     hashes = [gather([x]) for x in got["h"]]
     counts = [gather([x]) for x in got["n"]]
-    seen, df = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_counts=True)
-    terms = seen[df >= min(LEAST_DF, max(1, len(ids) // 4))].astype(np.uint64)
+    terms = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)).astype(np.uint64)
     if len(terms) and len(set(toxic.tolist())) == 2:
         over, total = document_frequency(docs, terms)
         look = Lookup(terms)
         places = [look(h.astype(np.uint64)) for h in hashes]
         idf = 1 + np.log((1 + total) / (1 + over))
-        index = Index(ids, toxic, [p[p >= 0] for p in places], [c[p >= 0] for p, c in zip(places, counts)], terms, idf)
+        index = Index(ids, toxic, places, counts, terms, idf)
     else:
         index = Index(np.zeros(0, np.int64), np.zeros(0), [], [], np.zeros(0, np.uint64), np.zeros(0))
     shared = spark.sparkContext.broadcast(index)
