@@ -71,6 +71,24 @@ def test_mixing_repeats_in_epochs(spark):
     assert Counter(out.source) == {"a": 4, "b": 4} and set(out[out.source == "b"].epoch) == {0, 1, 2, 3}
 
 
+def test_default_mixing_draws_every_document(spark):
+    rows = [(i, f"text {i}", "a" if i < 600 else "b") for i in range(650)] + [(650, "stray", None)]
+    out = op1_mixing.mix(docs(spark, rows)).toPandas()
+    assert set(out.doc_id) == set(range(651)) and (out.source == "a").sum() == 600
+    n = Counter(out.source.fillna("NULL"))
+    assert abs(n["b"] - 600 * (50 / 600) ** 0.7) < 2 and abs(n["NULL"] - 600 * (1 / 600) ** 0.7) < 2
+    assert not out.duplicated(["doc_id", "epoch"]).any()
+    once = op1_mixing.mix(docs(spark, rows), power=1.0).toPandas()
+    assert sorted(once.doc_id) == list(range(651)) and (once.epoch == 0).all()
+
+
+def test_pipeline_mixing_keeps_every_document_once(spark):
+    import corpus_pipeline as p
+
+    rows = [(i, f"text {i}", "a" if i < 300 else "b") for i in range(307)] + [(307, "stray", None)]
+    assert sorted(r.doc_id for r in p.mixing(spark, docs(spark, rows), "").collect()) == list(range(308))
+
+
 def test_mixing_awkward(awkward, empty):
     assert op1_mixing.mix(awkward, power=1.0).count() == awkward.count()
     assert op1_mixing.mix(awkward, {None: 1.0}).count() == 2

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-A source's quota is its share of ``total`` by weight (largest remainder; by default the largest total that needs no
-document twice).  Each source's documents are put in an order by a seeded hash and cut into blocks; a quota is a number of
+A source's quota is its share of ``total`` by weight (largest remainder).  With the default weights the total is by default
+the least that draws every document, so scarce sources repeat and none loses a document; with given weights it is
+the largest that needs no document twice.  Each source's documents are put in an order by a seeded hash and cut into blocks; a quota is a number of
 whole blocks and one partial block.  The shards are halved again and again: at each node the
 left half takes its number of blocks by a multivariate hypergeometric draw over the sources' blocks in the node, so each leaf
 has exact block counts, and together they use up the quotas.  A shard's blocks of a source are a run of the source's order,
@@ -42,6 +43,13 @@ def quotas(counts: dict, weights: dict, total: int | None = None) -> dict:
     return got
 
 
+def covering(counts: dict, weights: dict) -> int:
+    """The least total, rounded down, at which every document of the weighted sources is drawn."""
+    live = {s: float(weights[s]) for s in counts if counts[s] and weights.get(s, 0) > 0}
+    whole = sum(live.values())
+    return int(max((counts[s] * whole / w for s, w in live.items()), default=0) * (1 + 1e-12))
+
+
 def split_tree(blocks: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
     """(shards x sources) numbers of blocks: rows' sums differ by one at most, columns' sums are ``blocks``."""
     out = np.zeros((shards, len(blocks)), np.int64)
@@ -68,7 +76,7 @@ def tempered(counts: dict, power: float = POWER) -> dict:
 def mix(docs: DataFrame, weights: dict | None = None, total: int | None = None, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, power: float = POWER, columns: list[str] | None = None) -> DataFrame:
     """The drawn rows with epoch, shard and position (from 0 in each shard); ``columns`` are kept, all by default.
 
-    ``weights`` by source; tempered counts by default. Counts are of all documents. The driver holds (sources x shards) numbers.
+    ``weights`` by source; tempered counts by default, and then every document is drawn unless a ``total`` is given. Counts are of all documents. The driver holds (sources x shards) numbers.
     """
     if shards < 1 or block < 1 or (total is not None and total < 0):
         raise ValueError("shards and block must be positive, total not negative")
@@ -84,7 +92,11 @@ def mix(docs: DataFrame, weights: dict | None = None, total: int | None = None,
     counts: dict = {}
     for r in spread:
         counts[r.src] = counts.get(r.src, 0) + r.n
-    quota = quotas(counts, tempered(counts, power) if weights is None else weights, total)
+    if weights is None and total is None:
+        target = tempered(counts, power)
+        quota = {s: max(n, counts[s]) for s, n in quotas(counts, target, covering(counts, target)).items()}  # rounding takes none
+    else:
+        quota = quotas(counts, tempered(counts, power) if weights is None else weights, total)
     sources = sorted(quota, key=lambda s: (s is not None, s))
     drawn = np.array([quota[s] for s in sources], np.int64)
     tree = split_tree(-(-drawn // block), shards, seed)
