@@ -82,6 +82,12 @@ def test_default_mixing_draws_every_document(spark):
     assert sorted(once.doc_id) == list(range(651)) and (once.epoch == 0).all()
 
 
+def test_mixing_query_has_whole_documents(spark, small):
+    from textloom.llm import queries
+
+    assert set(spark.read.parquet(f"{small}/documents.parquet").columns) <= set(queries.QUERIES["op1_mixing"](spark, small).columns)
+
+
 def test_pipeline_mixing_keeps_every_document_once(spark):
     import corpus_pipeline as p
 

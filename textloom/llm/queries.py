@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op1_mixing.mix(_table(spark, sf_dir, "documents"), columns=["doc_id", "source"])
+    return op1_mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity_(spark: SparkSession, sf_dir: str) -> DataFrame:
