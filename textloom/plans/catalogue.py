@@ -314,6 +314,16 @@ def filter_split(spark, sf_dir):
     return series.filter_split_indices(rows, threshold=0.4, min_distance=1)
 
 
+@query("""
+WITH q AS (SELECT user_id AS series, event_id AS idx, value, quantile_cont(value, 0.4) OVER (PARTITION BY user_id) AS lim FROM events),
+k AS (SELECT series, list({'i': idx, 'v': value} ORDER BY idx) AS a FROM q WHERE value <= lim GROUP BY series),
+f AS (SELECT series, list_reduce(list_transform(a, lambda x: [x]), lambda got, x: CASE WHEN x[1].i - got[len(got)].i >= 100 THEN list_concat(got, x) ELSE got END) AS g FROM k)
+SELECT series, x.i AS idx, x.v AS value FROM f, unnest(g) AS t(x)""")
+def filter_split_thinned(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("series"), F.col("event_id").alias("idx"), "value")
+    return series.filter_split_indices(rows, threshold=0.4, min_distance=100)
+
+
 @query("""
 WITH p AS (SELECT label, vec_id, embedding AS a, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings),
 c AS (SELECT label, vec_id, list_cosine_similarity(CAST(a AS DOUBLE[]), CAST(b AS DOUBLE[])) AS c FROM p WHERE b IS NOT NULL)
