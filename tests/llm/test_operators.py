@@ -162,23 +162,56 @@ def test_nearest_is_exact():
         np.testing.assert_array_equal(top, full[0])
 
 
-def test_toxicity_counts_rare_terms(spark):
+def stems_of(word):
+    b = word.encode()
+    return [b[:4], *([b[:5]] if len(b) > 4 else [])]
+
+
+def test_toxicity_against_brute_force(spark):
+    """Cosines, votes, calibration and threshold of score() from the definitions, with terms that occur once among them."""
     rows, labels = toxic_rows(200)
-    rows = [(i, f"{t} once{i} twice{i // 8}", s) for i, t, s in rows]
+    rows = [(i, f"{t} {i}once {i // 8}twice äö{i % 3}ß", s) for i, t, s in rows]
+    toxic = {i: y for i, _, y, _ in labels}
     table, labels = docs(spark, rows), spark.createDataFrame(labels, LABELS)
     sample = op2_toxicity.labelled_sample(table, labels)
     examples = {r.doc_id for r in sample.df.where("not held").collect()}
+    held = [r.doc_id for r in sample.df.where("held").collect()]
     sample.drop()
-    counts = {i: Counter(t.split()) for i, t, _ in rows}
+    counts = {i: Counter(x for w in t.split() for x in stems_of(w)) for i, t, _ in rows}
     df, known = Counter(w for c in counts.values() for w in c), set().union(*(counts[i] for i in examples))
-    assert any(f"once{i}" in known for i in counts)
     weight = {i: {w: (1 + np.log(n)) * (1 + np.log((1 + len(rows)) / (1 + df[w]))) for w, n in c.items() if w in known} for i, c in counts.items()}
     norm = {i: np.sqrt(sum(x * x for x in w.values())) for i, w in weight.items()}
-    for r in op2_toxicity.score(table, labels).collect():
+    k = max(op2_toxicity.LEAST_K, min(Counter(toxic[i] for i in examples).values()) // 10)
+    got, votes = op2_toxicity.score(table, labels).collect(), {}
+    for r in got:
         a = weight[r.doc_id]
-        want = {j: sum(x * weight[j].get(w, 0) for w, x in a.items()) / norm[r.doc_id] / norm[j] for j in examples}
+        want = {j: sum(x * weight[j].get(w, 0) for w, x in a.items()) / norm[r.doc_id] / norm[j] for j in examples if j != r.doc_id}
         np.testing.assert_allclose([e.cosine for e in r.evidence], sorted(want.values(), reverse=True)[: len(r.evidence)], atol=5e-6)
         np.testing.assert_allclose([e.cosine for e in r.evidence], [want[e.doc_id] for e in r.evidence], atol=5e-6)
+        best = sorted(want, key=lambda j: (-round(want[j], 6), j))[:k]
+        votes[r.doc_id] = sum(want[j] * toxic[j] for j in best) / sum(want[j] for j in best)
+        assert abs(r.vote - votes[r.doc_id]) < 1e-4
+    kept = sorted((r.vote, toxic[r.doc_id], r.score) for r in got if r.doc_id in held)
+    p = np.array([x[2] for x in kept])
+    assert (np.diff(p) >= 0).all()
+    for x in set(p):  # isotonic: each level is the mean of its held-out labels
+        assert abs(np.mean([y for _, y, q in kept if q == x]) - x) < 1e-9
+    gain = {x: np.mean([q >= x for _, y, q in kept if y]) - op2_toxicity.CLEAN_COST * np.mean([q >= x for _, y, q in kept if not y]) for x in p if x > 0}
+    least = max(x for x in gain if gain[x] >= max(gain.values()) - 1e-12)
+    assert all(r.toxic == (r.score >= least) for r in got)
+
+
+def test_own_label_gives_no_vote(spark):
+    rows, labels = toxic_rows(240)
+    table, labels = docs(spark, rows), spark.createDataFrame(labels, LABELS)
+    for r in op2_toxicity.score(table, labels).collect():
+        assert all(e.doc_id != r.doc_id for e in r.evidence)
+
+
+def test_threshold_weighs_clean_documents():
+    p, y = np.array([0.1, 0.2, 0.2, 0.6, 0.6, 0.9]), np.array([0, 0, 1, 0, 1, 1])
+    assert op2_toxicity.cut(p, y, 3.0) == 0.9 and op2_toxicity.cut(p, y, 0.0) == 0.2
+    assert op2_toxicity.cut(np.zeros(3), np.array([0, 1, 0])) == 0.5 == op2_toxicity.cut(p, np.ones(6))
 
 
 def test_isotonic():

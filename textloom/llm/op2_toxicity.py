@@ -1,21 +1,25 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, over a block-max inverted index.
 
 The labelled examples are a bounded sample (``EXAMPLES`` of either class, ``HELD_OUT`` more of any class for
-calibration), drawn by hash of the id; the space is spanned by all terms of the examples, weighted
-(1 + ln tf) * (1 + ln((1 + N) / (1 + df))), with df and N counted over all documents.  Everything else runs over all
-documents and whole texts, every document being a query.  A document's terms that no example has are outside the space
-and not in its norm; they would lower all its cosines by one factor, which neither the order nor the vote depends on.
+calibration), drawn by hash of the id.  Terms are stems, so that a word's inflected forms meet: each WORD token's first
+``SHORT`` bytes (all of it if it is shorter) and, of longer ones, the first ``SHORT`` + 1.  The space is spanned by all terms of the
+examples, weighted (1 + ln tf) * (1 + ln((1 + N) / (1 + df))), with df and N counted over all documents.  Everything else runs
+over all documents and whole texts, every document being a query.  A document's terms that no example has are outside
+the space and not in its norm; they would lower all its cosines by one factor, which neither the order nor the vote depends on.
 
 The index keeps the terms' lists in two parts.  Lists of rare terms are added up for every example.  Lists of the
 ``HEAD`` commonest terms are kept by block of 64 examples with the block's maximum of each term, which bounds the
 block's scores: blocks are evaluated from the highest bound on, and those whose bound is below the k-th best score so
-far are skipped, which changes no result.  Votes, weighted by cosine, become probabilities by isotonic regression on the
-held-out examples; the nearest examples are the evidence.
+far are skipped, which changes no result.  k is a tenth of the smaller class, from ``LEAST_K`` to ``K``.  A document is no neighbour
+of its own id.  Votes, weighted by cosine, become probabilities by isotonic regression on the held-out examples; the nearest
+examples are the evidence.  The threshold is the probability at which the held-out share of toxic documents caught, less
+``CLEAN_COST`` times the share of clean ones lost, is greatest (the highest such; 0.5 with too few labels to hold any out).
 
 Defined cases: a NULL or empty text, or one without a term of the index, has no neighbour, vote NULL, score 0 and is
 not toxic; a NULL doc_id stays NULL; each row gives a row, so repeated rows repeat; labels that disagree count as
-toxic, NULL labels and labels of absent documents don't count; an empty table gives none; without labels of both
-classes nothing is toxic; ties in cosine (to 6 digits) go to the lesser example id; further columns are ignored.
+toxic, NULL labels and labels of absent documents don't count; of a labelled doc_id with several texts the least text counts; an
+empty table gives none; without labels of both classes nothing is toxic; ties in cosine (to 6 digits) go to the lesser
+example id; very long texts are worked off whole, in memory of some 60 bytes for each of theirs; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import Stored, batch, drawn, gather, lean, lean_table, pack
-from .text import WORD, ids_of, slices
+from .text import NULL_ID, WORD, ids_of, mix, slices
 
-EXAMPLES, HELD_OUT, K, HEAD, BLOCK, EVIDENCE, THRESHOLD = 1024, 4096, 51, 512, 64, 5, 0.5
+EXAMPLES, HELD_OUT, K, LEAST_K, HEAD, BLOCK, EVIDENCE = 4096, 4096, 201, 5, 512, 64, 5
+SHORT, CLEAN_COST = 4, 3.0
 _TERMS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("h", pa.binary()), ("n", pa.binary())])
 RESULT = "doc_id long, vote double, score double, toxic boolean, evidence array<struct<doc_id: long, cosine: double, toxic: boolean>>"
 
@@ -39,19 +44,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES
     present = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(present, "doc_id", "left_semi").withColumn("o", F.xxhash64("doc_id", F.lit(7)))
     half = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2))  # one half of the labels for examples, the other held out
-    known = Stored(known.select("doc_id", "toxic", "o", (half == 1).alias("held")), "labels").df
+    stored = Stored(known.select("doc_id", "toxic", "o", (half == 1).alias("held")), "labels")
+    known = stored.df
     parts = [drawn(known.where((F.col("toxic") == c) & ~F.col("held")), "o", examples) for c in (1, 0)]
     ids = parts[0].union(parts[1]).union(drawn(known.where("held"), "o", held_out)).select(F.col("doc_id").alias("id"), "toxic", "held")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = text.join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
-    return Stored(found.groupBy("doc_id", "toxic", "held").agg(F.min("text").alias("text")), "labelled")
+    sample = Stored(found.groupBy("doc_id", "toxic", "held").agg(F.min("text").alias("text")), "labelled")
+    stored.drop()
+    return sample
+
+
+def stems(s) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of all stems of a slice, repeated ones as often as they occur."""
+    size, row = s.ends - s.starts, s.row_of()
+    value = np.zeros(len(size), np.uint64)
+    last = max(0, len(s.buf) - 1)
+    for k in range(SHORT):
+        value |= np.where(size > k, s.buf[np.minimum(s.starts + k, last)], 0).astype(np.uint64) << np.uint64(8 * k)
+    long = np.flatnonzero(size > SHORT)
+    more = value[long] | s.buf[s.starts[long] + SHORT].astype(np.uint64) << np.uint64(8 * SHORT)
+    return np.concatenate([row, row[long]]), mix(np.concatenate([value, more]))  # mix is one-to-one
 
 
 def _row_terms(s):
     """(row, hash, count) of a slice's distinct terms by row, ascending."""
-    row = s.row_of()
-    order = np.lexsort((s.hashes, row))
-    row, h = row[order], s.hashes[order]
+    row, h = stems(s)
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
     at = np.flatnonzero(new)
     return row[at], h[at], np.diff(np.append(at, len(h)))
@@ -97,9 +117,10 @@ def _document_frequency(terms, n_parts: int):
         for b in batches:
             for s in slices(b.column(0), WORD, lower=True):
                 docs += len(s.first) - 1
-                t = look(s.hashes)
+                row, h = stems(s)
+                t = look(h)
                 keep = t >= 0
-                pair = np.unique(s.row_of()[keep] * len(look.terms) + t[keep])
+                pair = np.unique(row[keep] * len(look.terms) + t[keep])
                 count += np.bincount(pair % max(1, len(look.terms)), minlength=len(look.terms))[: len(look.terms)]
         schema = pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("counts", pa.binary())])
         if docs:
@@ -153,15 +174,19 @@ class Index:
         self.ids, self.toxic = np.pad(ids[alike], (0, pad)), np.pad(toxic[alike], (0, pad)).astype(np.float64)
         order = np.argsort(self.ids[:n], kind="stable")
         self.tie = np.zeros(self.n)
-        self.tie[order] = np.arange(n) * 1e-10
+        self.tie[order] = np.arange(n) * 1e-11
+        self.by_id, self.at_id = self.ids[order], order
         rare = np.flatnonzero(~at)
         rare = rare[np.argsort(term[rare], kind="stable")]
         self.first = np.searchsorted(term[rare], np.arange(len(terms) + 1))
         self.example, self.weight = back[row[rare]].astype(np.int32), weight[rare].astype(np.float32)
         self.place, self.terms, self.idf = place, terms, idf
 
-    def nearest(self, q_row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, k: int, prune: bool = True):
-        """(examples, cosines) of each query row's k best, cosine 0 where fewer share a term. Weights are normalised."""
+    def nearest(self, q_row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, k: int, prune: bool = True, own: np.ndarray | None = None):
+        """(examples, cosines) of each query row's k best, cosine 0 where fewer share a term. Weights are normalised.
+
+        ``own`` are the queries' ids; an example of that id doesn't count.
+        """
         n, blocks = self.n, self.n // BLOCK
         head = np.zeros((rows, self.head.shape[1]), np.float32)
         at = self.place[term] >= 0
@@ -171,6 +196,10 @@ class Index:
         total = np.cumsum(size)
         flat = np.arange(total[-1] if len(total) else 0) + np.repeat(self.first[r_term] - (total - size), size)
         rare = np.bincount(np.repeat(r_row, size) * n + self.example[flat], np.repeat(r_weight, size) * self.weight[flat], minlength=rows * n).reshape(rows, n)
+        if own is not None:
+            at = np.minimum(np.searchsorted(self.by_id, own), len(self.by_id) - 1)
+            self_row = np.flatnonzero((self.by_id[at] == own) & (own != NULL_ID))
+            self_at = self.at_id[at[self_row]]
         bound = head @ self.peak.T + rare.reshape(rows, blocks, BLOCK).max(axis=2) + 1e-5
         score = np.full((rows, n), -1.0)
         k = min(k, n)
@@ -185,6 +214,8 @@ class Index:
                 who = np.flatnonzero(chosen[:, b])
                 span = slice(b * BLOCK, (b + 1) * BLOCK)
                 score[who, span] = np.round(head[who] @ self.head[span].T + rare[who, span], 6) - self.tie[span]
+            if own is not None:
+                score[self_row, self_at] = -1.0
 
         evaluate(best)
         least = np.partition(score, n - k, axis=1)[:, n - k]
@@ -195,9 +226,9 @@ class Index:
 
 
 def _scored(shared, k: int):
-    """For each slice of the texts in a column: (slice, vote or NaN, neighbours, cosines)."""
+    """For each slice of the texts in a column, whose ids are given: (slice, vote or NaN, neighbours, cosines)."""
 
-    def run(column):
+    def run(column, ids):
         index, look = shared.value, None
         look = _lookups.get("last")
         if look is None or look.terms is not index.terms:  # an id would be used again once its index is gone
@@ -207,17 +238,18 @@ def _scored(shared, k: int):
             if not index.n:
                 yield s, np.full(rows, np.nan), np.zeros((rows, 0), np.int64), np.zeros((rows, 0))
                 continue
-            t = look(s.hashes)
+            row, h = stems(s)
+            t = look(h)
             keep = t >= 0
-            pair, tf = np.unique(s.row_of()[keep] * len(index.terms) + t[keep], return_counts=True)
+            pair, tf = np.unique(row[keep] * len(index.terms) + t[keep], return_counts=True)
             row, term = np.divmod(pair, len(index.terms))
             weight = (1 + np.log(tf)) * index.idf[term]
             weight = weight / np.sqrt(np.maximum(np.bincount(row, weight**2, minlength=rows), 1e-12))[row]
             top, cosine, start = [], [], 0
             while start < rows:
-                end = min(rows, start + 256)
+                end = min(rows, start + 128)
                 a, z = np.searchsorted(row, [start, end])
-                t1, c1 = index.nearest(row[a:z] - start, term[a:z], weight[a:z], end - start, k)
+                t1, c1 = index.nearest(row[a:z] - start, term[a:z], weight[a:z], end - start, k, own=ids[s.rows][start:end])
                 top.append(t1), cosine.append(c1)
                 start = end
             top, cosine = np.concatenate(top), np.concatenate(cosine)
@@ -247,11 +279,20 @@ def isotonic(vote: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.array([v[0] for v in level]), np.array([v[1] / v[2] for v in level])
 
 
+def cut(p: np.ndarray, toxic: np.ndarray, clean_cost: float = CLEAN_COST) -> float:
+    """The highest probability from which on calling a document toxic gains most; see the module's text."""
+    at = np.unique(p[p > 0])
+    if not len(at) or not 0 < toxic.sum() < len(toxic):
+        return 0.5
+    gain = [np.mean(p[toxic > 0] >= x) - clean_cost * np.mean(p[toxic == 0] >= x) for x in at]
+    return float(at[len(at) - 1 - int(np.argmax(gain[::-1]))])
+
+
 class Model:
-    """An index and its calibration, both of bounded size, as broadcasts."""
+    """An index (a broadcast), its calibration and its threshold, all of bounded size."""
 
-    def __init__(self, shared, steps, k: int):
-        self.shared, self.steps, self.k = shared, steps, k
+    def __init__(self, shared, steps, k: int, threshold: float = 0.5):
+        self.shared, self.steps, self.k, self.threshold = shared, steps, k, threshold
 
     def probability(self, vote: np.ndarray) -> np.ndarray:
         at, p = self.steps
@@ -260,7 +301,7 @@ class Model:
         return np.where(np.isnan(vote), 0.0, p[np.maximum(np.searchsorted(at, np.nan_to_num(vote), side="right") - 1, 0)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, k: int = K, examples: int = EXAMPLES, held_out: int = HELD_OUT) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, k: int | None = None, examples: int = EXAMPLES, held_out: int = HELD_OUT, clean_cost: float = CLEAN_COST) -> Model:
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, examples, held_out)
     got = sample.df.where("not held").select("doc_id", "toxic", "text").mapInArrow(lean(_terms), "doc_id long, toxic int, h binary, n binary").toArrow().sort_by("doc_id")
@@ -277,14 +318,15 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = K, examples: int = EXAMPLES
     else:
         index = Index(np.zeros(0, np.int64), np.zeros(0), [], [], np.zeros(0, np.uint64), np.zeros(0))
     shared = spark.sparkContext.broadcast(index)
+    k = k or max(LEAST_K, min(K, int(min((toxic > 0).sum(), (toxic == 0).sum())) // 10))
 
     def votes(batches):
         score = _scored(shared, k)
         for b in batches:
-            for s, vote, *_ in score(b.column(1)):
+            for s, vote, *_ in score(b.column(1), ids_of(b.column(2))):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.rows.start, len(vote)), pa.array(vote)], names=["toxic", "vote"])
 
-    held = sample.df.where("held").select("toxic", "text").mapInArrow(lean(votes), "toxic int, vote double").toArrow()
+    held = sample.df.where("held").select("toxic", "text", "doc_id").mapInArrow(lean(votes), "toxic int, vote double").toArrow()
     vote, y = held["vote"].to_numpy(), held["toxic"].to_numpy()
     known = ~np.isnan(vote)
     if not known.any() and index.n:  # too few labels to hold any out
@@ -292,17 +334,20 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = K, examples: int = EXAMPLES
     else:
         steps = isotonic(vote[known], y[known])
     sample.drop()
-    return Model(shared, steps, k)
+    model = Model(shared, steps, k)
+    model.threshold = cut(model.probability(vote), y, clean_cost) if known.any() else 0.5
+    return model
 
 
-def score(docs: DataFrame, labels: DataFrame, model: Model | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, vote, score (calibrated), toxic, evidence (the nearest examples); a row for every row."""
+def score(docs: DataFrame, labels: DataFrame, model: Model | None = None, threshold: float | None = None) -> DataFrame:
+    """doc_id, vote, score (calibrated), toxic, evidence (the nearest examples); a row for every row. ``threshold``: the model's own by default."""
     model = model or fit(docs, labels)
+    threshold = model.threshold if threshold is None else threshold
 
     def run(batches):
         scored = _scored(model.shared, model.k)
         for b in batches:
-            for s, vote, top, cosine in scored(b.column(1)):
+            for s, vote, top, cosine in scored(b.column(1), ids_of(b.column(0))):
                 index, rows = model.shared.value, len(vote)
                 p = model.probability(vote)
                 top, cosine = top[:, :EVIDENCE], cosine[:, :EVIDENCE]
@@ -315,16 +360,17 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None, thresh
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), RESULT)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
     """The rows of ``docs`` but for the toxic ones; one pass over the rows, no shuffle."""
     model = fit(docs, labels)
-    at = docs.columns.index("text")
+    threshold = model.threshold if threshold is None else threshold
+    at, id_at = docs.columns.index("text"), docs.columns.index("doc_id")
 
     def run(batches):
         scored = _scored(model.shared, model.k)
         for b in batches:
             text = b.column(at).cast(pa.string())
-            keep = [model.probability(vote) < threshold for _, vote, *_ in scored(text)]
+            keep = [model.probability(vote) < threshold for _, vote, *_ in scored(text, ids_of(b.column(id_at)))]
             if keep:
                 yield b.filter(pa.array(np.concatenate(keep)))
 
