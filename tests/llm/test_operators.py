@@ -173,16 +173,17 @@ def test_toxicity_against_brute_force(spark):
     rows = [(i, f"{t} {i}once {i // 8}twice äö{i % 3}ß", s) for i, t, s in rows]
     toxic = {i: y for i, _, y, _ in labels}
     table, labels = docs(spark, rows), spark.createDataFrame(labels, LABELS)
-    sample = op2_toxicity.labelled_sample(table, labels)
-    examples = {r.doc_id for r in sample.df.where("not held").collect()}
-    held = [r.doc_id for r in sample.df.where("held").collect()]
+    sample, number = op2_toxicity.labelled_sample(table, labels, 60)
+    examples = {r.doc_id for r in sample.df.collect()}
     sample.drop()
+    assert number == Counter(toxic.values()) and Counter(toxic[i] for i in examples) == {0: 60, 1: min(60, number[1])}
     counts = {i: Counter(x for w in t.split() for x in stems_of(w)) for i, t, _ in rows}
     df, known = Counter(w for c in counts.values() for w in c), set().union(*(counts[i] for i in examples))
     weight = {i: {w: (1 + np.log(n)) * (1 + np.log((1 + len(rows)) / (1 + df[w]))) for w, n in c.items() if w in known} for i, c in counts.items()}
     norm = {i: np.sqrt(sum(x * x for x in w.values())) for i, w in weight.items()}
-    k = max(op2_toxicity.LEAST_K, min(Counter(toxic[i] for i in examples).values()) // 10)
-    got, votes = op2_toxicity.score(table, labels).collect(), {}
+    model = op2_toxicity.fit(table, labels, examples=60)
+    k = model.k
+    got, votes = op2_toxicity.score(table, labels, model).collect(), {}
     for r in got:
         a = weight[r.doc_id]
         want = {j: sum(x * weight[j].get(w, 0) for w, x in a.items()) / norm[r.doc_id] / norm[j] for j in examples if j != r.doc_id}
@@ -191,14 +192,20 @@ def test_toxicity_against_brute_force(spark):
         best = sorted(want, key=lambda j: (-round(want[j], 6), j))[:k]
         votes[r.doc_id] = sum(want[j] * toxic[j] for j in best) / sum(want[j] for j in best)
         assert abs(r.vote - votes[r.doc_id]) < 1e-4
-    kept = sorted((r.vote, toxic[r.doc_id], r.score) for r in got if r.doc_id in held)
+    kept = sorted((r.vote, toxic[r.doc_id], r.score) for r in got if r.doc_id in examples)
+    weight = {0: number[0] / 60, 1: number[1] / min(60, number[1])}
     p = np.array([x[2] for x in kept])
     assert (np.diff(p) >= 0).all()
-    for x in set(p):  # isotonic: each level is the mean of its held-out labels
-        assert abs(np.mean([y for _, y, q in kept if q == x]) - x) < 1e-9
+    for x in set(p):  # isotonic: each level is the share of toxic ones in it, classes as in all labels
+        mass = [(weight[y], y) for _, y, q in kept if q == x]
+        assert abs(sum(w * y for w, y in mass) / sum(w for w, _ in mass) - x) < 1e-9
     gain = {x: np.mean([q >= x for _, y, q in kept if y]) - op2_toxicity.CLEAN_COST * np.mean([q >= x for _, y, q in kept if not y]) for x in p if x > 0}
     least = max(x for x in gain if gain[x] >= max(gain.values()) - 1e-12)
     assert all(r.toxic == (r.score >= least) for r in got)
+    for other in op2_toxicity.KS:  # none catches more at that price
+        m = op2_toxicity.fit(table, labels, ks=(other,), examples=60)
+        got = [r for r in op2_toxicity.score(table, labels, m).collect() if r.doc_id in examples]
+        assert np.mean([r.toxic for r in got if toxic[r.doc_id]]) - op2_toxicity.CLEAN_COST * np.mean([r.toxic for r in got if not toxic[r.doc_id]]) <= max(gain.values()) + 1e-9
 
 
 def test_own_label_gives_no_vote(spark):
@@ -210,8 +217,8 @@ def test_own_label_gives_no_vote(spark):
 
 def test_threshold_weighs_clean_documents():
     p, y = np.array([0.1, 0.2, 0.2, 0.6, 0.6, 0.9]), np.array([0, 0, 1, 0, 1, 1])
-    assert op2_toxicity.cut(p, y, 3.0) == 0.9 and op2_toxicity.cut(p, y, 0.0) == 0.2
-    assert op2_toxicity.cut(np.zeros(3), np.array([0, 1, 0])) == 0.5 == op2_toxicity.cut(p, np.ones(6))
+    assert op2_toxicity.cut(p, y, 3.0) == (0.9, 1 / 3) and op2_toxicity.cut(p, y, 0.0) == (0.2, 1.0)
+    assert op2_toxicity.cut(np.zeros(3), np.array([0, 1, 0])) == (0.5, 0.0) == op2_toxicity.cut(p, np.ones(6))
 
 
 def test_isotonic():

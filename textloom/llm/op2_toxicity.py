@@ -1,7 +1,6 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, over a block-max inverted index.
 
-The labelled examples are a bounded sample (``EXAMPLES`` of either class, ``HELD_OUT`` more of any class for
-calibration), drawn by hash of the id.  Terms are stems, so that a word's inflected forms meet: each WORD token's first
+The labelled examples are a bounded sample (``EXAMPLES`` of either class), drawn by hash of the id.  Terms are stems, so that a word's inflected forms meet: each WORD token's first
 ``SHORT`` bytes (all of it if it is shorter) and, of longer ones, the first ``SHORT`` + 1.  The space is spanned by all terms of the
 examples, weighted (1 + ln tf) * (1 + ln((1 + N) / (1 + df))), with df and N counted over all documents.  Everything else runs
 over all documents and whole texts, every document being a query.  A document's terms that no example has are outside
@@ -10,10 +9,11 @@ the space and not in its norm; they would lower all its cosines by one factor, w
 The index keeps the terms' lists in two parts.  Lists of rare terms are added up for every example.  Lists of the
 ``HEAD`` commonest terms are kept by block of 64 examples with the block's maximum of each term, which bounds the
 block's scores: blocks are evaluated from the highest bound on, and those whose bound is below the k-th best score so
-far are skipped, which changes no result.  k is a tenth of the smaller class, from ``LEAST_K`` to ``K``.  A document is no neighbour
-of its own id.  Votes, weighted by cosine, become probabilities by isotonic regression on the held-out examples; the nearest
-examples are the evidence.  The threshold is the probability at which the held-out share of toxic documents caught, less
-``CLEAN_COST`` times the share of clean ones lost, is greatest (the highest such; 0.5 with too few labels to hold any out).
+far are skipped, which changes no result.  A document is no neighbour of its own id, so an example's vote is one of the others.
+Votes, weighted by cosine, become probabilities by isotonic regression on the examples' votes, each class counting as often as it
+is among all labels, with steps halfway between neighbouring votes; the nearest examples are the evidence.  The threshold is the
+probability at which the share of toxic examples caught, less ``CLEAN_COST`` times the share of clean ones lost, is greatest (the highest
+such); k is the one of ``KS`` with which that is greatest (the least such).
 
 Defined cases: a NULL or empty text, or one without a term of the index, has no neighbour, vote NULL, score 0 and is
 not toxic; a NULL doc_id stays NULL; each row gives a row, so repeated rows repeat; labels that disagree count as
@@ -29,30 +29,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import Stored, batch, drawn, gather, lean, lean_table, pack
+from .packed import Stored, batch, buckets, drawn, gather, lean, lean_table, pack
 from .text import NULL_ID, WORD, ids_of, mix, slices
 
-EXAMPLES, HELD_OUT, K, LEAST_K, HEAD, BLOCK, EVIDENCE = 4096, 4096, 201, 5, 512, 64, 5
-SHORT, CLEAN_COST = 4, 3.0
+EXAMPLES, HEAD, BLOCK, EVIDENCE = 4096, 512, 64, 5
+KS, SHORT, CLEAN_COST = (5, 11, 21, 51, 101, 201, 401), 4, 3.0
 _TERMS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("h", pa.binary()), ("n", pa.binary())])
 RESULT = "doc_id long, vote double, score double, toxic boolean, evidence array<struct<doc_id: long, cosine: double, toxic: boolean>>"
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, held_out: int = HELD_OUT) -> Stored:
-    """(doc_id, toxic, held, text) of a bounded sample of labelled documents, drawn by hash; one row a document."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple[Stored, dict[int, int]]:
+    """(doc_id, toxic, text) of a bounded sample of labelled documents, drawn by hash, one row a document; all labels' number by class."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     present = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(present, "doc_id", "left_semi").withColumn("o", F.xxhash64("doc_id", F.lit(7)))
-    half = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2))  # one half of the labels for examples, the other held out
-    stored = Stored(known.select("doc_id", "toxic", "o", (half == 1).alias("held")), "labels")
-    known = stored.df
-    parts = [drawn(known.where((F.col("toxic") == c) & ~F.col("held")), "o", examples) for c in (1, 0)]
-    ids = parts[0].union(parts[1]).union(drawn(known.where("held"), "o", held_out)).select(F.col("doc_id").alias("id"), "toxic", "held")
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(present, "doc_id", "left_semi")
+    known = known.select("doc_id", (F.col("toxic") != 0).cast("int").alias("toxic"), F.xxhash64("doc_id", F.lit(7)).alias("o"))
+    stored = Stored(known, "labels")
+    counts = {r.toxic: r.n for r in stored.df.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    parts = [drawn(stored.df.where(F.col("toxic") == c), "o", examples) for c in (1, 0)]
+    ids = parts[0].union(parts[1]).select(F.col("doc_id").alias("id"), "toxic")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = text.join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
-    sample = Stored(found.groupBy("doc_id", "toxic", "held").agg(F.min("text").alias("text")), "labelled")
+    sample = Stored(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
     stored.drop()
-    return sample
+    return sample, counts
 
 
 def stems(s) -> tuple[np.ndarray, np.ndarray]:
@@ -225,8 +225,8 @@ class Index:
         return top, np.maximum(np.round(np.take_along_axis(score, top, 1) + self.tie[top], 6), 0)
 
 
-def _scored(shared, k: int):
-    """For each slice of the texts in a column, whose ids are given: (slice, vote or NaN, neighbours, cosines)."""
+def _scored(shared, ks: tuple[int, ...]):
+    """For each slice of the texts in a column, whose ids are given: (slice, vote or NaN by k, neighbours, cosines)."""
 
     def run(column, ids):
         index, look = shared.value, None
@@ -236,7 +236,7 @@ def _scored(shared, k: int):
         for s in slices(column, WORD, lower=True, target=1 << 19):
             rows = len(s.first) - 1
             if not index.n:
-                yield s, np.full(rows, np.nan), np.zeros((rows, 0), np.int64), np.zeros((rows, 0))
+                yield s, [np.full(rows, np.nan)] * len(ks), np.zeros((rows, 0), np.int64), np.zeros((rows, 0))
                 continue
             row, h = stems(s)
             t = look(h)
@@ -249,13 +249,16 @@ def _scored(shared, k: int):
             while start < rows:
                 end = min(rows, start + 128)
                 a, z = np.searchsorted(row, [start, end])
-                t1, c1 = index.nearest(row[a:z] - start, term[a:z], weight[a:z], end - start, k, own=ids[s.rows][start:end])
+                t1, c1 = index.nearest(row[a:z] - start, term[a:z], weight[a:z], end - start, max(ks), own=ids[s.rows][start:end])
                 top.append(t1), cosine.append(c1)
                 start = end
             top, cosine = np.concatenate(top), np.concatenate(cosine)
-            total = cosine.sum(axis=1)
-            vote = np.where(total > 0, (cosine * index.toxic[top]).sum(axis=1) / np.where(total > 0, total, 1), np.nan)
-            yield s, vote, top, cosine
+            total, toxic = np.cumsum(cosine, axis=1), np.cumsum(cosine * index.toxic[top], axis=1)
+            votes = []
+            for k in ks:
+                k = min(k, cosine.shape[1]) - 1
+                votes.append(np.where(total[:, k] > 0, toxic[:, k] / np.where(total[:, k] > 0, total[:, k], 1), np.nan))
+            yield s, votes, top, cosine
 
     return run
 
@@ -263,12 +266,13 @@ def _scored(shared, k: int):
 _lookups: dict = {}
 
 
-def isotonic(vote: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(vote: np.ndarray, toxic: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: the votes at which the probability steps up, and the probabilities."""
+    weight = np.ones(len(vote)) if weight is None else weight
     order = np.argsort(vote, kind="stable")
     at, first = np.unique(vote[order], return_index=True)
-    y = np.add.reduceat(toxic[order].astype(float), first) if len(at) else np.zeros(0)
-    n = np.diff(np.append(first, len(vote))).astype(float)
+    y = np.add.reduceat((toxic * weight)[order].astype(float), first) if len(at) else np.zeros(0)
+    n = np.add.reduceat(weight[order].astype(float), first) if len(at) else np.zeros(0)
     level: list[list[float]] = []
     for x, a, b in zip(at, y, n):
         level.append([x, a, b])
@@ -279,13 +283,21 @@ def isotonic(vote: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.array([v[0] for v in level]), np.array([v[1] / v[2] for v in level])
 
 
-def cut(p: np.ndarray, toxic: np.ndarray, clean_cost: float = CLEAN_COST) -> float:
-    """The highest probability from which on calling a document toxic gains most; see the module's text."""
+def halfway(at: np.ndarray, vote: np.ndarray) -> np.ndarray:
+    """Steps moved to the middle between their vote and the next lesser one."""
+    known = np.unique(vote)
+    below = np.searchsorted(known, at) - 1
+    return np.where(below >= 0, (at + known[np.maximum(below, 0)]) / 2, at)
+
+
+def cut(p: np.ndarray, toxic: np.ndarray, clean_cost: float = CLEAN_COST) -> tuple[float, float]:
+    """The highest probability from which on calling a document toxic gains most, and the gain; see the module's text."""
     at = np.unique(p[p > 0])
     if not len(at) or not 0 < toxic.sum() < len(toxic):
-        return 0.5
+        return 0.5, 0.0
     gain = [np.mean(p[toxic > 0] >= x) - clean_cost * np.mean(p[toxic == 0] >= x) for x in at]
-    return float(at[len(at) - 1 - int(np.argmax(gain[::-1]))])
+    best = len(at) - 1 - int(np.argmax(gain[::-1]))
+    return float(at[best]), float(gain[best])
 
 
 class Model:
@@ -301,10 +313,11 @@ class Model:
         return np.where(np.isnan(vote), 0.0, p[np.maximum(np.searchsorted(at, np.nan_to_num(vote), side="right") - 1, 0)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, k: int | None = None, examples: int = EXAMPLES, held_out: int = HELD_OUT, clean_cost: float = CLEAN_COST) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, ks: tuple[int, ...] = KS, examples: int = EXAMPLES, clean_cost: float = CLEAN_COST) -> Model:
     spark = docs.sparkSession
-    sample = labelled_sample(docs, labels, examples, held_out)
-    got = sample.df.where("not held").select("doc_id", "toxic", "text").mapInArrow(lean(_terms), "doc_id long, toxic int, h binary, n binary").toArrow().sort_by("doc_id")
+    sample, labelled = labelled_sample(docs, labels, examples)
+    rows = sample.df.select("doc_id", "toxic", "text").repartition(buckets(spark, 1), "doc_id")
+    got = rows.mapInArrow(lean(_terms), "doc_id long, toxic int, h binary, n binary").toArrow().sort_by("doc_id")
     ids, toxic = got["doc_id"].to_numpy(), got["toxic"].to_numpy()
     hashes = [gather([x]) for x in got["h"]]
     counts = [gather([x]) for x in got["n"]]
@@ -318,25 +331,26 @@ def fit(docs: DataFrame, labels: DataFrame, k: int | None = None, examples: int
     else:
         index = Index(np.zeros(0, np.int64), np.zeros(0), [], [], np.zeros(0, np.uint64), np.zeros(0))
     shared = spark.sparkContext.broadcast(index)
-    k = k or max(LEAST_K, min(K, int(min((toxic > 0).sum(), (toxic == 0).sum())) // 10))
 
     def votes(batches):
-        score = _scored(shared, k)
+        score = _scored(shared, ks)
         for b in batches:
-            for s, vote, *_ in score(b.column(1), ids_of(b.column(2))):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.rows.start, len(vote)), pa.array(vote)], names=["toxic", "vote"])
-
-    held = sample.df.where("held").select("toxic", "text", "doc_id").mapInArrow(lean(votes), "toxic int, vote double").toArrow()
-    vote, y = held["vote"].to_numpy(), held["toxic"].to_numpy()
-    known = ~np.isnan(vote)
-    if not known.any() and index.n:  # too few labels to hold any out
-        steps = (np.array([0.0, 0.5]), np.array([0.0, 1.0]))
-    else:
-        steps = isotonic(vote[known], y[known])
+            for s, vote, *_ in score(b.column(2), ids_of(b.column(0))):
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(s.rows.start, len(vote[0])), *map(pa.array, vote)], names=["toxic", *(f"v{i}" for i in range(len(ks)))])
+
+    got = rows.mapInArrow(lean(votes), ", ".join(["toxic int", *(f"v{i} double" for i in range(len(ks)))])).toArrow()
     sample.drop()
-    model = Model(shared, steps, k)
-    model.threshold = cut(model.probability(vote), y, clean_cost) if known.any() else 0.5
-    return model
+    y, best = got["toxic"].to_numpy(), None
+    weight = np.array([labelled.get(c, 0) / max(1, int((y == c).sum())) for c in (0, 1)])[y]
+    for i, k in enumerate(ks):
+        vote = got[f"v{i}"].to_numpy()
+        known = ~np.isnan(vote)
+        at, p = isotonic(vote[known], y[known], weight[known])
+        model = Model(shared, (halfway(at, vote[known]), p), k)
+        model.threshold, gain = cut(model.probability(vote), y, clean_cost)
+        if best is None or gain > best[0] + 1e-12:
+            best = gain, model
+    return best[1]
 
 
 def score(docs: DataFrame, labels: DataFrame, model: Model | None = None, threshold: float | None = None) -> DataFrame:
@@ -345,9 +359,9 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None, thresh
     threshold = model.threshold if threshold is None else threshold
 
     def run(batches):
-        scored = _scored(model.shared, model.k)
+        scored = _scored(model.shared, (model.k,))
         for b in batches:
-            for s, vote, top, cosine in scored(b.column(1), ids_of(b.column(0))):
+            for s, (vote,), top, cosine in scored(b.column(1), ids_of(b.column(0))):
                 index, rows = model.shared.value, len(vote)
                 p = model.probability(vote)
                 top, cosine = top[:, :EVIDENCE], cosine[:, :EVIDENCE]
@@ -367,10 +381,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float | None = Non
     at, id_at = docs.columns.index("text"), docs.columns.index("doc_id")
 
     def run(batches):
-        scored = _scored(model.shared, model.k)
+        scored = _scored(model.shared, (model.k,))
         for b in batches:
             text = b.column(at).cast(pa.string())
-            keep = [model.probability(vote) < threshold for _, vote, *_ in scored(text, ids_of(b.column(id_at)))]
+            keep = [model.probability(vote) < threshold for _, (vote,), *_ in scored(text, ids_of(b.column(id_at)))]
             if keep:
                 yield b.filter(pa.array(np.concatenate(keep)))
 
