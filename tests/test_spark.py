@@ -1,5 +1,7 @@
 """The DataFrame, SQL, ML and streaming layers, and the queries against their SQL."""
 
+import time
+
 import pytest
 from oracle import connect, same
 from pyspark.sql import functions as F
@@ -45,10 +47,8 @@ def test_chunks_are_slices(spark, docs, name):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
 
 
-def test_engines_agree(docs):
-    a, b = (ops.chunk_token(docs, engine=e, chunk_size=16, chunk_overlap=5) for e in ("native", "arrow"))
-    assert a.exceptAll(b).count() == 0 == b.exceptAll(a).count() and a.dtypes == b.dtypes
-    for options in ({"engine": "x"}, {"engine": "native", "tokenizer": "word"}, {"chunk_size": 0}):
+def test_token_options(docs):
+    for options in ({"tokenizer": "none"}, {"chunk_size": 0}):
         with pytest.raises(ValueError):
             ops.chunk_token(docs, **options)
     with pytest.raises(ValueError):
@@ -57,6 +57,15 @@ def test_engines_agree(docs):
         ops.chunk_sdpm(docs, TopicEmbedder([]), skip_window=0)
 
 
+def test_token_windows_of_a_long_text(spark):
+    long = "".join(chr(97 + i % 23) if i % 7 else "é" for i in range(1_000_000))
+    began = time.perf_counter()
+    rows = ops.chunk_token(spark.createDataFrame([(1, long)], "id int, text string"), chunk_size=64, chunk_overlap=8).collect()
+    assert time.perf_counter() - began < 30  # it is linear: from each text's start it would be minutes
+    assert [r.text for r in rows] == [long[k : k + 64] for k in range(0, len(long) - 8, 56)]
+    assert all(long.encode()[r.start_index : r.end_index].decode() == r.text for r in rows[:: len(rows) // 9])
+
+
 def test_bytes_and_splits(spark, docs):
     out = ops.chunk_bytes(docs, size=7, delimiters=" ").orderBy("chunk_index").where("id is null").collect()
     assert b"".join(bytes(r.data) for r in out) == ROWS[4][1].encode()
@@ -88,10 +97,17 @@ def test_series(spark):
         assert max(abs(a - b) for a, b in zip(got, signals.savgol(x, window, poly, d))) < 1e-9
     got = [r.filtered for r in series.savgol_filter(t).where("series = 2").orderBy("pos").collect()]
     assert max(abs(a - b) for a, b in zip(got, signals.savgol(x[:2]))) < 1e-9
+    for n in (1, 2, 3, 4, 5, 6, 13):
+        y = [float((i * 5) % 7) for i in range(n)]
+        one = spark.createDataFrame([(1, i, v) for i, v in enumerate(y)], "series int, pos int, value double")
+        got = [r.filtered for r in series.savgol_filter(one, window=7, poly=2).orderBy("pos").collect()]
+        assert max(abs(a - b) for a, b in zip(got, signals.savgol(y, 7, 2))) < 1e-9
     low = series.local_minima(t, window=5, tolerance=2.0).where("series = 1")
     assert sorted(r.idx for r in low.collect()) == signals.minima(x, 5, 2, 2.0)[0].tolist()
     some = series.filter_split_indices(t.withColumn("idx", F.col("pos")), threshold=0.6, min_distance=3).where("series = 1")
     assert sorted(r.idx for r in some.collect()) == signals.filter_splits(range(10), x, 0.6, 3)[0].tolist()
+    mean = series.mean_vectors(spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 0.0]), (2, [5.0, 5.0])], "series int, embedding array<float>"))
+    assert sorted((r.series, r.embedding) for r in mean.collect()) == [(1, [2.0, 1.0]), (2, [5.0, 5.0])]
     v = spark.createDataFrame([(1, i, [float(i % 3), 1.0, 0.0] if i != 4 else [0.0, 0.0, 0.0]) for i in range(9)], "series int, pos int, embedding array<float>")
     got = [r.similarity for r in series.cross_similarity(v, window=5).orderBy("pos").collect()]
     want = signals.cross_similarity([r.embedding for r in v.orderBy("pos").collect()], 5)
@@ -162,7 +178,7 @@ def test_entry(spark):
     assert entry.entry(spark).columns and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_bytes_all_takes_every_document(spark, tmp_path):
+def test_bytes_take_every_document(spark, tmp_path):
     rows = [(1, "Grüße. Ein Satz? " * 30), (2, "漢字と🩺。" * 90), (3, "plain. text\n" * 40), (4, ""), (5, None), (6, "ß" * 99 + "." + "é" * 150)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = []
@@ -174,5 +190,5 @@ def test_bytes_all_takes_every_document(spark, tmp_path):
                 cut = max((e + 1 for e in range(at, at + 200) if data[e] in b"\n.?" and e > at), default=at + 200)
             want.append((i, k, at, cut))
             at, k = cut, k + 1
-    got = entry.queries()["bytes_all"](spark, str(tmp_path))
+    got = entry.queries()["bytes_default"](spark, str(tmp_path))
     assert sorted((r.doc_id, r.chunk_index, r.start_index, r.end_index) for r in got.collect()) == want

@@ -71,15 +71,30 @@ def merge_indices(counts: str | Column, size: int) -> Column:
 def merge_splits(splits: str | Column, counts: str | Column, size: int) -> Column:
     """array<struct<merged, token_count>>: groups that fit ``size``; unchanged where every count is above it."""
     s, c = _column(splits), _column(counts)
-    ends = F.when(F.forall(c, lambda x: x > size), F.sequence(F.lit(1), F.size(c))).otherwise(merge_indices(c, size))
-    pairs = F.transform(ends, lambda e, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(ends, F.greatest(i, F.lit(1)))).alias("a"), e.alias("z")))
+    none = F.array().cast("array<struct<a:int,z:int,n:bigint>>")
+    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("first"), F.lit(0).alias("at"), none.alias("groups"))
 
-    def group(p: Column) -> Column:
-        part = F.slice(c, p["a"] + 1, p["z"] - p["a"])
-        return F.struct(F.array_join(F.slice(s, p["a"] + 1, p["z"] - p["a"]), "").alias("merged"), F.aggregate(part, F.lit(0).cast("long"), lambda x, y: x + y).alias("token_count"))
+    def group(state: Column) -> Column:
+        return F.struct(state["first"].alias("a"), state["at"].alias("z"), state["held"].alias("n"))
 
+    def step(state: Column, n: Column) -> Column:
+        cut = (state["held"] + n > size) & (state["at"] > state["first"])
+        return F.struct(
+            F.when(cut, n.cast("long")).otherwise(state["held"] + n).alias("held"),
+            F.when(cut, state["at"]).otherwise(state["first"]).alias("first"),
+            (state["at"] + 1).alias("at"),
+            F.when(cut, F.concat(state["groups"], F.array(group(state)))).otherwise(state["groups"]).alias("groups"),
+        )
+
+    folded = F.aggregate(c, start, step, lambda x: F.concat(x["groups"], F.array(group(x))))
+    single = F.transform(c, lambda n, i: F.struct(i.alias("a"), (i + 1).alias("z"), n.cast("long").alias("n")))
+    groups = F.when(F.forall(c, lambda x: x > size), single).otherwise(folded)
     empty = F.array().cast("array<struct<merged:string,token_count:bigint>>")
-    return F.when((F.size(s) == 0) | (F.size(c) == 0), empty).otherwise(F.transform(pairs, group))
+
+    def joined(g: Column) -> Column:
+        return F.struct(F.array_join(F.slice(s, g["a"] + 1, g["z"] - g["a"]), "").alias("merged"), g["n"].alias("token_count"))
+
+    return F.when((F.size(s) == 0) | (F.size(c) == 0), empty).otherwise(F.transform(groups, joined))
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -88,7 +103,7 @@ def dot(a: str | Column, b: str | Column) -> Column:
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:
-    """0 for unequal lengths and zero vectors."""
+    """0 for unequal lengths and zero vectors. Summed in double precision; ``kernels.signals.cosine`` keeps to single."""
     x, y = _column(a), _column(b)
     norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
     return F.when((F.size(x) == F.size(y)) & (norm > 0), dot(x, y) / norm).otherwise(F.lit(0.0))

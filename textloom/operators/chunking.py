@@ -104,29 +104,9 @@ def _chunked(df: DataFrame, text: str, options, function) -> DataFrame:
     return expand(df, text, _CHUNK, lambda: _texts(lambda data: function(data, options, made)))
 
 
-def chunk_token(df: DataFrame, text: str = "text", engine: str = "auto", **options) -> DataFrame:
-    """Windows of ``chunk_size`` tokens. ``engine``: native (Catalyst expressions; character counter only), arrow, or auto."""
-    o = K.TokenOptions(**options)
-    if engine not in ("auto", "native", "arrow"):
-        raise ValueError("engine must be auto, native or arrow")
-    if engine == "native":
-        if o.tokenizer not in ("character", "char"):
-            raise ValueError("the native engine counts characters")
-        return _native_windows(df, text, o.chunk_size, o.stride)
-    return _chunked(df, text, o, K.token_chunks)
-
-
-def _native_windows(df: DataFrame, text: str, size: int, stride: int) -> DataFrame:
-    col = F.col(f"`{text}`")
-    n = F.char_length(col)
-    last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / stride).cast("int"))
-    new = {f.name for f in _CHUNK}
-    others = [F.col(f"`{c}`") for c in df.columns if c not in new and c != text]
-    rows = df.where(~col.rlike(r"^\p{IsWhite_Space}*$")).select(*others, col.alias("__t"), n.alias("__n"), F.explode(F.sequence(F.lit(0), last)).alias("__k"))
-    at = F.col("__k") * stride
-    part = F.substring("__t", at + 1, F.lit(size))
-    start = F.octet_length(F.substring("__t", F.lit(1), at))
-    return rows.select(*others, F.col("__k").cast("long").alias("chunk_index"), start.cast("long").alias("start_index"), (start + F.octet_length(part)).cast("long").alias("end_index"), F.least(F.lit(size), F.col("__n") - at).cast("long").alias("token_count"), part.alias("text"))
+def chunk_token(df: DataFrame, text: str = "text", **options) -> DataFrame:
+    """Windows of ``chunk_size`` tokens; time and memory are linear in a text's length."""
+    return _chunked(df, text, K.TokenOptions(**options), K.token_chunks)
 
 
 def chunk_sentence(df: DataFrame, text: str = "text", **options) -> DataFrame:

@@ -13,39 +13,44 @@ from ..functions.columns import cosine, dot
 from ..kernels.signals import savgol_weights
 
 
-def _convolved(weights, value: str, keys: list[str], order: str) -> Column:
-    """Weights over neighbours, mirrored at the ends and then clamped, by lag and lead and the series' first and last values."""
-    half = len(weights) // 2
+def _around(df: DataFrame, half: int, value: str, keys: list[str], order: str) -> DataFrame:
+    """With ``__near``, the 4 half + 1 values around a row, and the row's place (``__i``) and number of rows (``__n``) in its series."""
     w = W.partitionBy(*keys).orderBy(order)
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    i, n = F.row_number().over(w) - 1, F.count(F.lit(1)).over(W.partitionBy(*keys))
-    around = {k: (F.lag(value, -k) if k < 0 else F.lead(value, k)).over(w) if k else F.col(value) for k in range(-2 * half, 2 * half + 1)}
-    total: Column = F.lit(0.0)
+    near = [(F.lag(value, -k) if k < 0 else F.lead(value, k)).over(w) if k else F.col(value) for k in range(-2 * half, 2 * half + 1)]
+    return df.select("*", F.array(*near).alias("__near"), (F.row_number().over(w) - 1).alias("__i"), F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("__n"))
+
+
+def _convolved(weights) -> Column:
+    """Weights over neighbours, mirrored at the ends and then clamped, of ``_around``'s columns.
+
+    Rows away from the ends take their neighbours as they are; a mirrored place is within 2 half of its row.
+    """
+    half = len(weights) // 2
+    i, n, near = F.col("__i"), F.col("__n"), F.col("__near")
+    inner: Column = F.lit(0.0)
+    edge: Column = F.lit(0.0)
     for j, weight in zip(range(-half, half + 1), weights):
         if weight == 0:
             continue
-        at = i + j
-        place = F.when(at < 0, -at).otherwise(at)
+        place = F.when(i + j < 0, -(i + j)).otherwise(i + j)
         place = F.when(place >= n, 2 * n - place - 2).otherwise(place)
         place = F.least(F.greatest(place, F.lit(0)), n - 1)
-        move = place - i
-        v = F.first(value).over(whole)
-        for k, c in around.items():
-            v = F.when(move == k, c).otherwise(v)
-        total = total + v * float(weight)
-    return total
+        inner = inner + near[j + 2 * half] * float(weight)
+        edge = edge + near[(place - i + 2 * half).cast("int")] * float(weight)
+    return F.when((i >= half) & (i < n - half), inner).otherwise(edge)
 
 
 def savgol_filter(df: DataFrame, value: str = "value", keys: tuple[str, ...] = ("series",), order: str = "pos", window: int = 5, poly: int = 3, deriv: int = 0, output: str = "filtered") -> DataFrame:
     """A Savitzky-Golay filter, or its derivative, in a window over each series."""
-    return df.withColumn(output, _convolved(savgol_weights(window, poly, deriv), value, list(keys), order))
+    weights = savgol_weights(window, poly, deriv)
+    return _around(df, window // 2, value, list(keys), order).withColumn(output, _convolved(weights)).drop("__near", "__i", "__n")
 
 
 def local_minima(df: DataFrame, value: str = "value", keys: tuple[str, ...] = ("series",), order: str = "pos", window: int = 11, poly: int = 2, tolerance: float = 0.2) -> DataFrame:
     """Rows where the smoothed slope is nearly 0 and the curvature positive; ``idx`` is the place in the series."""
-    d1, d2 = (_convolved(savgol_weights(window, poly, d), value, list(keys), order) for d in (1, 2))
-    idx = (F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1).cast("long")
-    return df.select("*", idx.alias("idx"), d1.alias("__d1"), d2.alias("__d2")).where((F.abs("__d1") < tolerance) & (F.col("__d2") > 0)).drop("__d1", "__d2")
+    d1, d2 = (_convolved(savgol_weights(window, poly, d)) for d in (1, 2))
+    near = _around(df, window // 2, value, list(keys), order).withColumns({"idx": F.col("__i").cast("long"), "__d1": d1, "__d2": d2})
+    return near.where((F.abs("__d1") < tolerance) & (F.col("__d2") > 0)).drop("__d1", "__d2", "__near", "__i", "__n")
 
 
 def filter_split_indices(df: DataFrame, value: str = "value", index: str = "idx", keys: tuple[str, ...] = ("series",), threshold: float = 0.5, min_distance: int = 2) -> DataFrame:
@@ -71,6 +76,13 @@ def cross_similarity(df: DataFrame, vector: str = "embedding", keys: tuple[str,
     return pairs.withColumn(output, F.coalesce(F.avg("__c").over(w.rowsBetween(-half, half)), F.lit(0.0))).drop("__next", "__c")
 
 
+def mean_vectors(df: DataFrame, vector: str = "embedding", keys: tuple[str, ...] = ("series",)) -> DataFrame:
+    """The mean vector of each series, by partial sums for each dimension, so that a large series is never in one place."""
+    parts = df.select(*keys, F.posexplode(vector).alias("__i", "__x")).groupBy(*keys, "__i").agg(F.avg("__x").alias("__m"))
+    rows = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", "__m"))).alias("__all"))
+    return rows.select(*keys, F.transform("__all", lambda x: x["__m"]).alias(vector))
+
+
 def merge_groups(df: DataFrame, size: int, split: str = "split", tokens: str = "tokens", keys: tuple[str, ...] = ("series",), order: str = "pos") -> DataFrame:
     """Each series' splits, greedily joined to groups of ``size`` tokens: keys, group, merged, token_count."""
     from ..functions.columns import merge_splits

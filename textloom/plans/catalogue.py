@@ -12,6 +12,7 @@ from ..functions.embedders import CharTokenEmbedder, TopicEmbedder
 from ..kernels.chunkers import SENTENCE_ENDS
 from ..operators import chunking as ops
 from ..operators import documents, series
+from .oracles import WHITE, bytes_consecutive_sql, bytes_patterns_sql, late_sql, one_byte_each, recursive_chunks_sql, sentence_overlap_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,9 +37,6 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.ensure_parallelism(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-WHITE = "'[\\t-\\r \\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]*'"
-
-
 def windows_sql(size: int, stride: int) -> str:
     return f"""
 SELECT doc_id, CAST(k AS BIGINT) AS chunk_index, CAST(strlen(substr(text, 1, CAST(k * {stride} AS INTEGER))) AS BIGINT) AS start_index,
@@ -50,17 +48,17 @@ FROM (SELECT doc_id, text, length(text) AS n FROM documents WHERE NOT regexp_ful
 
 @query(windows_sql(64, 56))
 def token_overlap(spark, sf_dir):
-    return ops.chunk_token(texts(spark, sf_dir), engine="native", chunk_size=64, chunk_overlap=8)
+    return ops.chunk_token(texts(spark, sf_dir), chunk_size=64, chunk_overlap=8)
 
 
 @query(windows_sql(256, 256))
 def token_char(spark, sf_dir):
-    return ops.chunk_token(texts(spark, sf_dir), engine="native", chunk_size=256)
+    return ops.chunk_token(texts(spark, sf_dir), chunk_size=256)
 
 
 @query(windows_sql(128, 96))
 def token_fraction(spark, sf_dir):
-    return ops.chunk_token(texts(spark, sf_dir), engine="arrow", chunk_size=128, chunk_overlap=0.25)
+    return ops.chunk_token(texts(spark, sf_dir), chunk_size=128, chunk_overlap=0.25)
 
 
 @query("""
@@ -153,12 +151,12 @@ def sentence_512(spark, sf_dir):
     return ops.chunk_sentence(texts(spark, sf_dir), chunk_size=512)
 
 
-@query()
+@query(sentence_overlap_sql(512, 128, 2))
 def sentence_overlap(spark, sf_dir):
     return ops.chunk_sentence(texts(spark, sf_dir), chunk_size=512, chunk_overlap=128, min_sentences_per_chunk=2)
 
 
-@query()
+@query(recursive_chunks_sql(512))
 def recursive_512(spark, sf_dir):
     return ops.chunk_recursive(texts(spark, sf_dir), chunk_size=512)
 
@@ -202,27 +200,17 @@ cuts AS (
 SELECT doc_id, CAST(i - 1 AS BIGINT) AS chunk_index, CAST(s AS BIGINT) AS start_index, CAST(e AS BIGINT) AS end_index FROM cuts WHERE i > 0"""
 
 
-@query(bytes_sql(200))
+@query(bytes_sql(200).replace("SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) = strlen(text)", f"SELECT doc_id, {one_byte_each("text")} AS text, strlen(documents.text) AS n FROM documents"))
 def bytes_default(spark, sf_dir):
-    ascii_only = texts(spark, sf_dir).where(F.char_length("text") == F.octet_length("text"))
-    return ops.chunk_offsets(ascii_only, size=200)
-
-
-#: Each character as so many ASCII ones as it has bytes in UTF-8, so that the SQL's places are bytes.
-ONE_BYTE_EACH = "regexp_replace(regexp_replace(regexp_replace(text, '[\\x{80}-\\x{7FF}]', 'xx', 'g'), '[\\x{800}-\\x{FFFF}]', 'xxx', 'g'), '[\\x{10000}-\\x{10FFFF}]', 'xxxx', 'g')"
-
-
-@query(bytes_sql(200).replace("SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) = strlen(text)", f"SELECT doc_id, {ONE_BYTE_EACH} AS text, strlen(documents.text) AS n FROM documents"))
-def bytes_all(spark, sf_dir):
     return ops.chunk_offsets(texts(spark, sf_dir), size=200)
 
 
-@query()
+@query(bytes_patterns_sql(200))
 def bytes_patterns(spark, sf_dir):
     return ops.chunk_offsets(texts(spark, sf_dir), size=200, delimiters="\n", patterns=[". ", "tion ", "é", "ß "], prefix=True, forward_fallback=True)
 
 
-@query()
+@query(bytes_consecutive_sql(100))
 def bytes_consecutive(spark, sf_dir):
     return ops.chunk_offsets(texts(spark, sf_dir), size=100, delimiters=" ", prefix=True, consecutive=True, forward_fallback=True)
 
@@ -334,12 +322,13 @@ def cross_similarity(spark, sf_dir):
 
 
 @query("""
-SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id""")
-def cosine_pairs(spark, sf_dir):
+WITH d AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, unnest(range(1, len(embedding) + 1)) AS r(i) GROUP BY label, i),
+c AS (SELECT label, list(m ORDER BY i) AS m FROM d GROUP BY label)
+SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), m), 6) AS cosine FROM embeddings JOIN c USING (label)""")
+def cosine_to_mean(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    pairs = e.alias("a").join(e.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    return pairs.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(C.cosine("a.embedding", "b.embedding"), 6).alias("cosine"))
+    means = series.mean_vectors(e, keys=("label",)).withColumnRenamed("embedding", "mean")
+    return e.join(means, "label").select("vec_id", "label", F.round(C.cosine("embedding", "mean"), 6).alias("cosine"))
 
 
 @query("SELECT doc_id, " + ", ".join(f"CAST((length(lower(text)) - length(replace(lower(text), '{k}', ''))) // {len(k)} AS DOUBLE) AS t{i}" for i, k in enumerate(TOPICS)) + " FROM documents")
@@ -358,9 +347,10 @@ def sdpm_topic(spark, sf_dir):
     return ops.chunk_sdpm(texts(spark, sf_dir), TopicEmbedder(TOPICS), threshold=0.5)
 
 
-@query()
+@query(late_sql(512))
 def late_pool(spark, sf_dir):
-    return ops.chunk_late(texts(spark, sf_dir), CharTokenEmbedder(4), chunk_size=512)
+    out = ops.chunk_late(texts(spark, sf_dir), CharTokenEmbedder(4), chunk_size=512)
+    return out.select("doc_id", "chunk_index", "token_count", *[F.round(F.col("embedding")[k].cast("double") * F.col("token_count")).cast("long").alias(f"sum{k}") for k in (0, 1)])
 
 
 @query("""
