@@ -104,3 +104,20 @@ def test_format_errors():
     for f, error in ((lambda: formats.convert(b"x"), formats.UnsupportedDocument), (lambda: formats.convert(b"x", "nope"), ValueError), (lambda: formats.convert(b"%PDF-1.4"), formats.ScannedDocumentError), (lambda: formats.convert(b"%PDF /Encrypt"), formats.EncryptedDocument), (lambda: formats.convert(b"PK", "docx"), formats.MalformedDocument), (lambda: formats.convert(zipped({"word/x": ""})), formats.MalformedDocument), (lambda: formats.convert(b"\xd0\xcf\x11\xe0", filename="a.doc"), formats.UnsupportedDocument)):
         with pytest.raises(error):
             f()
+
+
+def pdf(*streams):
+    return b"%PDF-1.7\n" + b"".join(b"stream\n" + zlib.compress(x) + b"\nendstream\n" for x in streams)
+
+
+def test_pdf_headings_and_codes():
+    page = b"BT /F1 26 Tf 1 0 0 1 72 700 Tm (Yearly Survey) Tj ET BT /F1 16 Tf 0 -20 Td (Sites) Tj ET BT /F2 10 Tf 0 -20 Td [(We went) -300 (to two) 20 (hundred)] TJ T* (sites, by \\(slow\\) train.) Tj ET BT /F1 16 Tf 0 -9 Td (Costs) Tj ET BT /F1 5 Tf 2 0 0 2 72 10 Tm (Little.) Tj ET"
+    text, _ = formats.convert(pdf(page))
+    assert text == "# Yearly Survey\n\n## Sites\n\nWe went to twohundred\nsites, by (slow) train.\n\n## Costs\n\nLittle.\n"
+    from textloom.kernels.markdown import segment_markdown
+
+    assert [s.heading_path for s in segment_markdown(text) if s.kind == "prose"] == [("Yearly Survey", "Sites"), ("Yearly Survey", "Costs")]
+    codes = b"1 beginbfchar <0003> <00DF> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange"
+    assert formats.convert(pdf(codes, b"BT /F1 9 Tf <0010 00110012> Tj <0003> Tj ET"))[0] == "abc\u00df\n"
+    assert formats.convert(pdf(b"BT /F1 9 Tf <4869> Tj ET"))[0] == "Hi\n"
+    assert formats.convert(pdf(b"BT (one) Tj ET", b"BT (two) Tj (three) ' ET"))[0] == "one\n\ntwo\nthree\n"

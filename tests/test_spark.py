@@ -141,6 +141,14 @@ def test_sql_functions(spark, docs):
     got = spark.sql("SELECT d.id, c.chunk_index, c.start_index, c.text FROM some_docs d, LATERAL chunk_recursive(d.text, 60) c WHERE d.id = 1")
     want = ops.chunk_recursive(docs.where("id = 1"), chunk_size=60).select("id", "chunk_index", "start_index", "text")
     assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+    assert len(tables.register(spark, TopicEmbedder(["hello"]), CharTokenEmbedder())) == 9
+    for name, call in (("semantic", "chunk_semantic(d.text, 0.8D, 60)"), ("sdpm", "chunk_sdpm(d.text, 0.8D, 60)"), ("late", "chunk_late(d.text, 60)")):
+        got = spark.sql(f"SELECT d.id, c.* FROM some_docs d, LATERAL {call} c")
+        want = ALL[name](docs).select(*got.columns)
+        assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count(), name
+    got = spark.sql("SELECT d.id, c.chunk_index, c.start_index, c.data FROM some_docs d, LATERAL chunk_bytes(d.text, 9, ' ') c")
+    want = ops.chunk_bytes(docs, size=9, delimiters=" ").select("id", "chunk_index", "start_index", "data")
+    assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
     assert spark.sql("SELECT * FROM chunk_table('| a |\n|---|\n| 1 |\n| 2 |\n', 1)").count() == 2
 
 
@@ -149,6 +157,9 @@ def test_transformers(spark, docs):
     assert {"id", "piece"} <= set(out.columns) and out.count() > 5
     with pytest.raises(ValueError):
         ChunkTransformer("x")
+    for kind, options in (("semantic", {"embedder": TopicEmbedder(["hello"])}), ("late", {"embedder": CharTokenEmbedder()}), ("bytes", {"size": 9})):
+        out = ChunkTransformer(kind, outputCol="piece", **options).transform(docs)
+        assert {"id", "piece"} <= set(out.columns) and out.count() > 2
     rows = spark.createDataFrame([("d", "word " * 30, {"k": "v"}), (None, "x", None), ("e", "", {"k": "w"})], "id string, text string, meta_data map<string,string>")
     got = sorted(((r.id, r.meta_data) for r in retrieval_records(rows, kind="token", chunk_size=100).collect()), key=str)
     assert got == sorted([("d_1", {"k": "v", "chunk": "1", "chunk_size": "100"}), ("d_2", {"k": "v", "chunk": "2", "chunk_size": "50"}), (None, {"chunk": "1", "chunk_size": "1"}), ("e", {"k": "w"})], key=str)

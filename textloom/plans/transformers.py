@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking
 
-_BY_NAME = {"token": chunking.chunk_token, "sentence": chunking.chunk_sentence, "recursive": chunking.chunk_recursive, "code": chunking.chunk_code, "table": chunking.chunk_table}
+_BY_NAME = {"token": chunking.chunk_token, "sentence": chunking.chunk_sentence, "recursive": chunking.chunk_recursive, "code": chunking.chunk_code, "table": chunking.chunk_table, "semantic": chunking.chunk_semantic, "sdpm": chunking.chunk_sdpm, "late": chunking.chunk_late, "bytes": chunking.chunk_bytes}
 
 
 class ChunkTransformer(Transformer):
-    """Rows to a row for each chunk; all other columns (a document's metadata) are copied."""
+    """Rows to a row for each chunk; all other columns (a document's metadata) are copied. Semantic, sdpm and late take an ``embedder``."""
 
     def __init__(self, kind: str = "recursive", inputCol: str = "text", outputCol: str = "text", **options):
         super().__init__()
@@ -21,6 +21,8 @@ class ChunkTransformer(Transformer):
         self.kind, self.input, self.output, self.options = kind, inputCol, outputCol, options
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
+        if self.kind == "bytes":
+            return chunking.chunk_bytes(dataset, self.input, output=self.output, **self.options)
         out = _BY_NAME[self.kind](dataset, text=self.input, **self.options)
         return out.withColumnRenamed("text", self.output) if self.output != "text" else out
 

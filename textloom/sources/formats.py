@@ -306,29 +306,110 @@ def _rtf(data: bytes) -> str:
 
 
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
-_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|T\*|Td|TD|ET|'", re.S)
+_SIGNS = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|/[^\s/<>\[\]()]+|[-+]?(?:\d+\.?\d*|\.\d+)|[A-Za-z]+\*?|['\"\[\]]", re.S)
+_UNICODE = re.compile(rb"<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>\s*)?<([0-9A-Fa-f]+)>")
+_ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t"}
 
 
-def _pdf(data: bytes) -> str:
-    if b"/Encrypt" in data:
-        raise EncryptedDocument("the PDF is encrypted")
+def _pdf_streams(data: bytes) -> list[bytes]:
     out = []
     for raw in _STREAM.findall(data):
         try:
             raw = zlib.decompress(raw)
         except zlib.error:
             pass
-        if b"BT" not in raw:
-            continue
-        page = []
-        for part in _SHOWN.findall(raw):
-            if part[:1] == b"(":
-                page.append(re.sub(rb"\\([nrt()\\]|[0-7]{1,3})", lambda m: {b"n": b"\n", b"r": b"\r", b"t": b"\t"}.get(m[1], m[1] if not m[1].isdigit() else bytes([int(m[1], 8) & 255])), part[1:-1]).decode("cp1252", "replace"))
-            else:
-                page.append("\n")
-        out.append(re.sub(r"\n+", "\n", "".join(page)).strip())
-    if not any(out):
+        out.append(raw)
+    return out
+
+
+def _pdf_codes(streams: list[bytes]) -> dict[str, str]:
+    """Glyph codes (hexadecimal) to text, from the fonts' ToUnicode maps; fonts share one table here."""
+    codes = {}
+    for raw in streams:
+        for mark in (b"bfchar", b"bfrange"):
+            for body in re.findall(b"begin" + mark + b"(.*?)end" + mark, raw, re.S):
+                for low, high, to in _UNICODE.findall(body):
+                    text = bytes.fromhex(to.decode().zfill(4)).decode("utf-16-be", "replace")
+                    first, last = int(low, 16), int(high or low, 16)
+                    for k in range(first, min(last, first + 65_535) + 1):
+                        codes[f"{k:0{len(low)}x}"] = text[:-1] + chr(ord(text[-1]) + k - first)
+    return codes
+
+
+def _pdf_text(sign: bytes, codes: dict[str, str]) -> str:
+    if sign[:1] == b"(":
+        plain = lambda m: _ESCAPED.get(m[1], m[1] if not m[1].isdigit() else bytes([int(m[1], 8) & 255]))
+        return re.sub(rb"\\([nrt()\\]|[0-7]{1,3})", plain, sign[1:-1]).decode("cp1252", "replace")
+    digits = re.sub(rb"\s", b"", sign[1:-1]).decode().lower()
+    wide = max(map(len, codes), default=2)
+    parts = [digits[k : k + wide] for k in range(0, len(digits), wide)]
+    return "".join(codes.get(x) or bytes.fromhex(x.ljust(len(x) + len(x) % 2, "0")).decode("cp1252", "replace").replace("\0", "") for x in parts)
+
+
+def _pdf_lines(raw: bytes, codes: dict[str, str]) -> list[tuple[float, str]]:
+    """(size of the type, text) of each line of a page's content."""
+    lines: list[tuple[float, str]] = []
+    held: list[str] = []
+    before: list[bytes] = []
+    size = scale = most = 0.0
+
+    def end():
+        nonlocal most
+        if "".join(held).strip():
+            lines.append((round(most, 1), "".join(held).strip()))
+        held.clear()
+        most = 0.0
+
+    for sign in _SIGNS.findall(raw):
+        number = [float(x) for x in before if x[:1] in b"0123456789.+-"]
+        if sign == b"BT":
+            scale = 1.0
+        elif sign == b"Tf" and number:
+            size = abs(number[-1])
+        elif sign == b"Tm" and len(number) >= 6:
+            end()
+            scale = abs(number[-3]) or 1.0
+        elif sign in (b"Td", b"TD", b"T*", b"ET", b"'", b'"'):
+            end()
+        if sign in (b"Tj", b"TJ", b"'", b'"'):
+            for x in before:
+                if x[:1] in b"(<":
+                    held.append(_pdf_text(x, codes))
+                elif sign == b"TJ" and x[:1] == b"-" and float(x) < -200 and held:
+                    held.append(" ")
+            most = max(most, size * (scale or 1.0))
+        if sign[:1] in b"(<[]/0123456789.+-":
+            before.append(sign)
+        else:
+            before = []
+    end()
+    return lines
+
+
+def _pdf(data: bytes) -> str:
+    """The text in its order; lines in larger type than most of the text are headings, by size."""
+    if b"/Encrypt" in data:
+        raise EncryptedDocument("the PDF is encrypted")
+    streams = _pdf_streams(data)
+    codes = _pdf_codes(streams)
+    pages = [_pdf_lines(raw, codes) for raw in streams if b"BT" in raw]
+    if not any(pages):
         raise ScannedDocumentError("the PDF has no text that can be read; a scan needs character recognition first")
+    letters: dict[float, int] = {}
+    for size, text in (x for page in pages for x in page):
+        letters[size] = letters.get(size, 0) + len(text)
+    body = max(letters, key=lambda size: (letters[size], -size))
+    larger = sorted((size for size in letters if body and size > 1.15 * body), reverse=True)
+    out = []
+    for page in pages:
+        block: list[str] = []
+        for size, text in page:
+            if size in larger:
+                out += ["\n".join(block), "#" * min(6, larger.index(size) + 1) + " " + text]
+                block = []
+            else:
+                block.append(text)
+        out.append("\n".join(block))
     return _joined(out)
 
 
