@@ -495,15 +495,20 @@ def late_chunks(data: bytes, o: LateOptions, c: Counter, embed_tokens, embed) ->
         return []
     pieces = recursive_chunks(data, o, c)
     counts = [n for *_, n in pieces]
-    vectors = [np.asarray(v, np.float32) for v in embed_tokens(data.decode())]
+    vectors = embed_tokens(data.decode())
+    table = isinstance(vectors, np.ndarray) and vectors.ndim == 2
+    vectors = vectors.astype(np.float32, copy=False) if table else [np.asarray(v, np.float32) for v in vectors]
     if len(vectors) < sum(counts):
-        vectors = [np.asarray(embed(data[s:e].decode()), np.float32) for s, e, _ in pieces]
+        vectors, table = [np.asarray(embed(data[s:e].decode()), np.float32) for s, e, _ in pieces], False
         counts = [1] * len(pieces)
     extra = len(vectors) - sum(counts)
     counts[0] += extra // 2
     counts[-1] += extra - extra // 2
-    wide = max(map(len, vectors), default=0)
     edges = [0, *accumulate(counts)]
+    if table and min(counts) > 0:  # one array: all sums at once
+        means = np.add.reduceat(vectors, edges[:-1], axis=0) / np.array(counts, np.float32)[:, None]
+        return [(s, e, n, mean) for (s, e, _), n, mean in zip(pieces, counts, means)]
+    wide = max(map(len, vectors), default=0)
     out = []
     for (s, e, _), a, z in zip(pieces, edges[:-1], edges[1:]):
         mean = np.zeros(wide, np.float32)
