@@ -3,8 +3,8 @@
 A signature has 64 components of 8 bits: the low byte of a mixed minimum of the document's shingles (runs of 2 WORD
 tokens, a shorter text is one shingle) under 64 permutations.  The distance of two documents is the number of
 components that differ; 64 * (1 - J) is expected at shingle similarity J.  Signatures are cut into 8 chunks, and the
-threshold t = 8 r + a - 8 (generalised pigeonhole) leaves a chunk of a close pair with at most r errors among the
-first a, or r - 1 among the rest.  Each chunk is indexed with every choice of allowed errors masked out, so any pair within t meets
+threshold t = 8 r + a (0 <= a < 8; generalised pigeonhole) leaves a chunk of a close pair with at most r errors among the
+first a + 1, or r - 1 among the rest: had none, there would be (a + 1)(r + 1) + (7 - a) r = t + 1 errors at least.  Each chunk is indexed with every choice of allowed errors masked out, so any pair within t meets
 under one key at least: the join finds all pairs within the threshold, without a cap.
 
 Equal signatures are collapsed first.  Groups that meet under a key are deduplicated as sets of ids, then verified on
@@ -14,7 +14,7 @@ large-star and small-star steps; each step is a table in the shared folder.
 
 Defined cases: NULL and token-less texts have no signature and no partner; a NULL doc_id takes no part (its rows
 are kept); rows of one doc_id are one document, which is kept or dropped with all its rows and whose signature
-is that of its rows' union; an empty table gives no rows; further columns are ignored; of ties the least doc_id stays.
+is that of its rows' union; an empty table gives no rows; further columns are ignored; a very long text is read in pieces of 8 MB, in memory by its number of tokens; of ties the least doc_id stays.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ and deflated by zstd, so that ids and positions, which differ in their low bytes
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import shutil
 import tempfile
@@ -96,6 +97,31 @@ def split(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(i), order[edges[i] : edges[i + 1]]
 
 
+def combined(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, marked: np.ndarray | None = None):
+    """Of occurrences by key: (places of each key's least (doc, pos), whether it occurs again, places of all that aren't the least).
+
+    Occurrences at the least one's own (doc, pos) are dropped; they, and ``marked`` ones, make it one that occurs again.
+    """
+    order = np.argsort(key)
+    k = key[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(k)))
+    least, again = order[first].copy(), size > 1
+    many = np.flatnonzero(np.repeat(again, size))  # only groups of several are put in order
+    at = order[many]
+    at = at[np.lexsort((pos[at], doc[at], key[at]))]
+    k = key[at]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    head = at[np.flatnonzero(new)][np.cumsum(new) - 1] if len(at) else at
+    least[again] = at[new]
+    if marked is not None and len(first):
+        again = again | np.logical_or.reduceat(marked[order], first)
+    return least, again, at[(doc[at] != doc[head]) | (pos[at] != pos[head])]
+
+
 def gather(column) -> np.ndarray:
     """All arrays of a binary column, joined."""
     parts = [unpack(x.as_buffer()) for x in column]
@@ -112,14 +138,15 @@ def buckets(spark: SparkSession, times: int = 2) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder of spark.checkpoint.dir. Where the session names none, a temporary one on a local master; an error on a cluster, whose machines share no such folder."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share; the master is {master}")
         where = _own.get("dir")
         if not where:
             where = _own["dir"] = tempfile.mkdtemp(prefix="textloom-")
-            import atexit
-
             atexit.register(shutil.rmtree, where, ignore_errors=True)
     return where
 
@@ -158,13 +185,16 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
 
 
 def drawn(rows: DataFrame, order: str, most: int) -> DataFrame:
-    """At most ``most`` rows, those least by the hash column ``order``.
+    """At most ``most`` rows, those least by the hash column ``order``, ties by the other columns.
 
-    Rows are counted first, and those whose hash can't be among the least are dropped where they are, so that what the tasks
-    send to the driver stays near ``most`` however many they are.
+    Hashes are counted by their upper 12 bits first, and rows above the first ranges that hold ``most`` are dropped where they
+    are, so that what tasks send on stays near ``most`` however many rows there are; equal hashes stay together.
     """
-    share = min(1.0, 2.0 * most / max(1, rows.count()))
-    if share < 1:
-        limit = int(-(1 << 63) + share * ((1 << 64) - 1))
-        rows = rows.where(F.col(order) <= F.lit(limit))
+    ranges = rows.groupBy(F.shiftright(order, 52).alias("r")).agg(F.count("*").alias("n")).collect()  # 4096 numbers at most
+    have = 0
+    for r in sorted(ranges, key=lambda r: (r.r is not None, r.r)):
+        have += r.n
+        if have >= most:
+            rows = rows.where(F.col(order).isNull() | (F.shiftright(order, 52) <= F.lit(r.r if r.r is not None else -(1 << 12))))
+            break
     return rows.orderBy(order, *[c for c in rows.columns if c != order]).limit(most)

@@ -82,8 +82,28 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offs
 
 
-def tokenise(buf: np.ndarray, offs: np.ndarray, table: np.ndarray, rows: slice) -> Slice:
+PIECE = 8 << 20
+
+
+def _in_pieces(buf: np.ndarray, base: int, n: int, table: np.ndarray, rows: slice) -> Slice:
+    """One row's tokens, found in pieces of about ``PIECE`` bytes that end where no token does go on."""
+    starts, ends, hashes, at = [], [], [], 0
+    while at < n:
+        stop = min(at + PIECE, n)
+        while stop < n and table[buf[base + stop]]:
+            off = np.flatnonzero(~table[buf[base + stop : base + min(stop + PIECE, n)]])
+            stop = stop + int(off[0]) if len(off) else min(stop + PIECE, n)
+        s = tokenise(buf, np.array([base + at, base + stop]), table, rows, whole=True)
+        starts.append(s.starts + at), ends.append(s.ends + at), hashes.append(s.hashes)
+        at = stop
+    starts, ends, hashes = np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
+    return Slice(rows, buf[base : base + n], starts, ends, np.array([0, len(starts)]), hashes, np.array([0, n]))
+
+
+def tokenise(buf: np.ndarray, offs: np.ndarray, table: np.ndarray, rows: slice, whole: bool = False) -> Slice:
     base, n = int(offs[0]), int(offs[-1] - offs[0])
+    if n > PIECE and len(offs) == 2 and not whole:
+        return _in_pieces(buf, base, n, table, rows)
     b, rel = buf[base : base + n], offs - base
     if n == 0:
         z = np.zeros(0, np.int64)
