@@ -3,11 +3,11 @@
 Features: length, path depth, digit ratio, byte entropy, numbers of parameters, hyphens, host labels and so on, and statistics of the
 host's suffixes (last label, last two labels): their smoothed share of bad URLs among the labelled ones, out of fold in training.
 Trees are grown on quantile bins by second-order gains of the logistic loss, on a bounded sample of labelled URLs
-(``SAMPLE`` rows, drawn by hash); scoring covers every URL in one pass without a shuffle.
+(``SAMPLE`` distinct URLs, drawn by hash; each counts once, with the share of its labels that are bad); scoring covers every URL in one pass without a shuffle.
 
-Defined cases: a NULL or empty URL has the features of the empty string, and score NULL; repeated rows repeat; NULL labels
+Defined cases: a NULL or empty URL has the features of the empty string, and score NULL; repeated rows repeat (and count once in training); NULL labels
 don't count; labels of one class give that class's share for all; an empty table gives no rows; NULL ids stay NULL;
-URLs without a scheme are read as host and path; further columns are ignored.
+URLs without a scheme are read as host and path; further columns are ignored; a URL of any length is read whole.
 """
 
 from __future__ import annotations
@@ -147,9 +147,10 @@ class Trees:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Trees:
-    """From (url, label); rows with NULLs don't count. At most ``sample`` rows, drawn by hash, reach the driver."""
+    """From (url, label); rows with NULLs don't count. At most ``sample`` distinct URLs, drawn by hash, reach the driver."""
     rows = labelled.select(F.col("url").cast("string").alias("url"), F.col("label").cast("int").alias("label")).dropna()
-    rows = drawn(rows.withColumn("o", F.xxhash64("url", F.lit(3))), "o", sample).toArrow()
+    known = rows.groupBy("url").agg(F.avg((F.col("label") != 0).cast("double")).alias("label")).withColumn("o", F.xxhash64("url", F.lit(3)))
+    rows = drawn(known, "o", sample).toArrow()
     return Trees(rows["url"].to_pylist(), rows["label"].to_numpy())
 
 
