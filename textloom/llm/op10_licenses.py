@@ -1,14 +1,16 @@
 """License scans by patience alignment against notice templates.
 
-A document that lacks too many of a template's words to reach the coverage can't match and is passed over, as is any
-stretch (half as long again as the template) that holds too few of them; both bounds are exact for matches within such a stretch.  In the
+A notice is looked for in stretches of ``SPREAD`` times the template's words, so that as many words again and more may stand between
+its own (line numbers, comment marks); words farther apart than that are no notice by definition.  A document that lacks too
+many of a template's words to reach the coverage can't match and is passed over, as is any stretch that holds too few of them; both bounds are exact.  In the
 stretches left, words that are unique to both text and template are anchors, the longest increasing subsequence of
 them is kept, and the gaps between are aligned in the same way; equal words next to an anchor or an edge extend it.
 Coverage is the share of the template's words that are aligned.
 
 Defined cases: NULL and empty texts match nothing; a row gives its matches, so repeated rows repeat; an empty table
 gives no rows; a NULL doc_id stays NULL; several copies of a notice give a row each; of templates that match the same words the
-one with the most aligned words is named, then the best covered, then the first by name; further columns are ignored.
+one with the most aligned words is named, then the best covered, then the first by name; further columns are ignored; a very long text is
+read in pieces of 8 MB, in memory by its number of tokens.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from .op2_toxicity import Lookup
 from .packed import lean
 from .text import WORD, slices
 
-COVERAGE = 0.8
+COVERAGE, SPREAD = 0.8, 3.0
 RESULT = "doc_id long, license string, coverage double, n_aligned long, start_token long, end_token long"
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -95,14 +97,14 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def copies(template: list[int], words: list[int], hit: np.ndarray, least: float) -> list[tuple[int, int, int]]:
-    """Disjoint (start, end, aligned words) of a template's copies: ``least`` words aligned in a stretch half as long again as the template.
+def copies(template: list[int], words: list[int], hit: np.ndarray, least: float, spread: float = SPREAD) -> list[tuple[int, int, int]]:
+    """Disjoint (start, end, aligned words) of a template's copies: ``least`` words aligned in a stretch of ``spread`` times the template.
 
     In a range of the tokens, starts are tried from the left until one aligns; of the starts within that copy the one with the
     most aligned words, then the shortest, counts, and what lies before and after its aligned words are ranges of their own.
     """
     n, kinds = len(template), set(template)
-    wide, spare = n + n // 2 + 1, n - len(kinds)
+    wide, spare = int(spread * n) + 1, n - len(kinds)
     total = np.concatenate([[0], np.cumsum(hit)])
     places = np.flatnonzero(hit)
     found = []
@@ -144,7 +146,7 @@ class Templates:
         self.size = np.array([len(w) for w in self.words])
 
 
-def _scanned(shared, coverage: float):
+def _scanned(shared, coverage: float, spread: float):
     def run(batches):
         t = shared.value
         look = Lookup(t.terms)
@@ -164,7 +166,7 @@ def _scanned(shared, coverage: float):
                     words = term[s.first[i] : s.first[i + 1]]
                     n = int(t.size[k])
                     hit = t.has[:, k][np.maximum(words, 0)].astype(bool) & (words >= 0)
-                    for a, z, aligned in copies(t.words[k].tolist(), words.tolist(), hit, coverage * n - 1e-9):
+                    for a, z, aligned in copies(t.words[k].tolist(), words.tolist(), hit, coverage * n - 1e-9, spread):
                         found.setdefault(int(i), []).append((-aligned, -round(aligned / n, 6), t.names[k], aligned, a, z))
                 out = []
                 for i, matches in found.items():
@@ -180,9 +182,11 @@ def _scanned(shared, coverage: float):
     return run
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, spread: float = SPREAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each notice found: doc_id, license, coverage, n_aligned, start_token, end_token. No shuffle."""
     if not 0 < coverage <= 1:
         raise ValueError("coverage must be above 0 and at most 1")
+    if spread < 1:
+        raise ValueError("spread must be 1 or more")
     shared = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_scanned(shared, coverage)), RESULT)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_scanned(shared, coverage, spread)), RESULT)
