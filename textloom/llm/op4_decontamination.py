@@ -2,18 +2,22 @@
 
 Documents are read once: each WORD token becomes its place in the benchmark's vocabulary (0 for any other word, which
 could add nothing to a product with an item), packed in a table in the shared folder with the counts of half-windows that
-hold each term.  Passages are windows of 32 tokens, 16 apart.  Terms weigh ln((1 + N) / (1 + df)); those in more than ``MOST`` of
-the half-windows weigh nothing, but for the ``SHORTEST`` rarest of each item.  A randomised SVD of the passages' TF-IDF matrix A
-takes two distributed passes over that table: A'AO for a random sign matrix O, whose QR factor Q spans the range, then A'AQ;
+hold each term.  Passages are windows of 32 tokens, 16 apart.  In the latent space terms weigh ln((1 + N) / (1 + df)); those in more than
+``MOST`` of the half-windows weigh nothing there, but for the ``RAREST`` rarest of each item.  A randomised SVD of the passages' TF-IDF
+matrix A takes two distributed passes over that table: A'AO for a random sign matrix O, whose QR factor Q spans the range, then A'AQ;
 the Rayleigh-Ritz step on Q'A'AQ gives the latent axes.  Partial sums are fixed-point, so their order changes
-no digit.  Every passage is compared with every item by cosine in the latent space.  What reaches ``COSINE`` is aligned on the
-words that have weight: an item is leaked where its longest common subsequence with a stretch of the document covers ``COVER`` of
-its words, or ``PARTIAL`` of them while its answer (the words of its last sentence, ``ANSWER`` at most) is covered to
-``ANSWERED``.  A stretch with fewer of the item's words than ``PARTIAL`` asks for is passed over, which is exact.
-
-Defined cases: NULL and empty texts, and items of fewer than ``SHORTEST`` words, match nothing; an empty table or
-benchmark gives no rows; rows of one doc_id, or of one item_id, pool their matches (the best one is reported, then the least start); a NULL
-doc_id is an id of its own; a NULL item_id takes no part; further columns are ignored.
+no digit.  Every passage is compared with every item by cosine in the latent space; an item of more than 64 words is asked for by its own
+passages, too, as a whole it would be unlike any of a copy's.  What reaches ``COSINE`` is aligned: an item is leaked
+where its longest common subsequence with a stretch of the document covers ``COVER`` of its words, or ``PARTIAL`` of them while
+its answer (its last sentence; with a single one its own coverage stands for it) is covered to ``ANSWERED``.  All words count in the alignment, common ones too.  A stretch
+that shares fewer words with the item than ``PARTIAL`` asks for is passed over, which is exact.
+
+The benchmark is searched for in blocks of about ``BLOCK_BYTES`` of text, each with a space of its own; only a block is ever on the driver or broadcast.
+
+Defined cases: NULL and empty texts match nothing; items of fewer than ``shortest`` words aren't searched for, as almost any text holds them
+(1 searches for all); an empty table or benchmark gives no rows; rows of one doc_id, or of one item_id, pool their matches (the best one
+is reported, then the least start); a NULL doc_id is an id of its own; a NULL item_id takes no part; further columns are
+ignored; a very long text is read in pieces of 8 MB, in memory by its number of tokens.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ from .packed import Stored, batch, gather, lean, lean_table, pack, without
 from .text import WORD, buffers, ids_back, ids_of, slices, tokenise
 
 HALF, RANK, EXTRA, SEED, MOST = 16, 64, 8, 20231101, 0.02
-COSINE, COVER, PARTIAL, ANSWER, ANSWERED, SHORTEST = 0.4, 0.7, 0.55, 8, 0.8, 5
+COSINE, COVER, PARTIAL, ANSWERED, SHORTEST, RAREST = 0.4, 0.7, 0.55, 0.8, 5, 5
+LONG, BLOCK_BYTES = 4 * HALF, 1 << 19
 FIXED = float(1 << 16)
 _PLACES = pa.schema([("doc", pa.binary()), ("first", pa.binary()), ("place", pa.binary()), ("halves", pa.int64()), ("df", pa.binary())])
 _SUMS = pa.schema([("part", pa.int32()), ("halves", pa.int64()), ("sums", pa.binary())])
@@ -38,28 +43,45 @@ RESULT = "doc_id long, item_id long, start_token long, end_token long, cosine do
 
 
 class Items:
-    """The benchmark's items as places in its vocabulary (from 1)."""
+    """A block of the benchmark's items as places in its vocabulary (from 1); ``tails`` are the answers' numbers of words, 0 without one."""
 
-    def __init__(self, benchmark: DataFrame):
-        rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct().orderBy("item_id", "text").toArrow()
+    def __init__(self, rows: pa.Table, shortest: int = SHORTEST):
+        rows = rows.sort_by([("item_id", "ascending"), ("text", "ascending")])
         ids, hashes, tails = [], [], []
         text = pc.utf8_lower(rows["text"].combine_chunks().cast(pa.string())) if rows.num_rows else pa.array([], pa.string())
         buf, offs = buffers(text)
         for i in range(rows.num_rows):
             s = tokenise(buf, offs[i : i + 2], WORD, slice(i, i + 1))
             n = len(s.hashes)
-            if n < SHORTEST:
+            if n < max(1, shortest):
                 continue
             b = s.buf.tobytes()
             cut = n - 1
-            while cut > 0 and n - cut < ANSWER and not any(c in b[s.ends[cut - 1] : s.starts[cut]] for c in b".!?\n"):
+            while cut > 0 and not any(c in b[s.ends[cut - 1] : s.starts[cut]] for c in b".!?\n"):
                 cut -= 1
-            ids.append(rows["item_id"][i].as_py()), hashes.append(s.hashes), tails.append(n - cut)
+            ids.append(rows["item_id"][i].as_py()), hashes.append(s.hashes), tails.append(n - cut if cut else 0)
         self.ids = np.array(ids, np.int64)
         self.terms = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
         self.places = [np.searchsorted(self.terms, h) + 1 for h in hashes]
         self.tails = tails
 
+    def counts(self) -> np.ndarray:
+        """(terms x items) numbers of occurrences."""
+        out = np.zeros((len(self.terms), len(self.places)), np.uint16)
+        for k, p in enumerate(self.places):
+            np.add.at(out[:, k], p - 1, 1)
+        return out
+
+    def queries(self, latent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank x queries) unit vectors of whole items and of long items' passages, and each query's item."""
+        made, owner = [], []
+        for k, p in enumerate(self.places):
+            spans = [p, *(p[a : a + 2 * HALF] for a in range(0, len(p) - HALF, HALF) if len(p) > LONG)]
+            made += [latent[x - 1].sum(axis=0) for x in spans]
+            owner += [k] * len(spans)
+        q = np.array(made, np.float32).T
+        return q / np.maximum(np.sqrt((q**2).sum(axis=0)), 1e-9), np.array(owner)
+
 
 def _placed(shared):
     def run(batches):
@@ -173,7 +195,7 @@ def term_weights(placed: DataFrame, items: Items) -> np.ndarray:
     held = np.zeros(len(df), bool)
     for place in items.places:
         t = np.unique(place - 1)
-        held[t[np.argsort(df[t], kind="stable")[:SHORTEST]]] = True
+        held[t[np.argsort(df[t], kind="stable")[:RAREST]]] = True
     weight[(df > MOST * n) & ~held] = 0
     return np.where((df <= MOST * n) | held, np.maximum(weight, 1e-3), 0)
 
@@ -217,71 +239,99 @@ def _bits(places: np.ndarray) -> dict[int, int]:
 
 def _matched(shared, cosine: float):
     def run(batches):
-        items, latent, queries, keep = shared.value
-        content = [p[keep[p - 1]] for p in items.places]
-        answers = [p[-n:][keep[p[-n:] - 1]] for p, n in zip(items.places, items.tails)]
-        whole, tail = [_bits(p) for p in content], [_bits(p) for p in answers]
-        length = np.array([len(p) for p in content])
+        items, latent, queries, owner, keep = shared.value
+        whole = [_bits(p) for p in items.places]
+        tail = [_bits(p[len(p) - n :]) for p, n in zip(items.places, items.tails)]
         reach = np.array([len(p) for p in items.places])
-        inside = np.zeros((len(keep), len(content)), bool)
-        for k, p in enumerate(content):
-            inside[p - 1, k] = True
+        counts = items.counts()
+        terms = len(keep)
         for doc, first, place in _unpacked(batches):
             p = Passages(first, place, keep)
             if not len(p.at):
                 continue
+            at = np.flatnonzero(place)
+            term = place[at].astype(np.int64) - 1
             y = p.join(p.sums(latent))
             y /= np.maximum(np.sqrt((y**2).sum(axis=1)), 1e-9)[:, None]
             best: dict[tuple[int, int], tuple] = {}
             for s in range(0, len(y), 2048):
                 c = y[s : s + 2048] @ queries
                 h, k = np.nonzero(c >= cosine)
-                c = c[h, k]
-                h += s
-                row = p.row[h]
-                a, z = np.maximum(first[row], p.start[h] - reach[k]), np.minimum(first[row + 1], p.start[h] + 2 * HALF + reach[k])
-                i, j = np.searchsorted(p.at, a), np.searchsorted(p.at, z)
-                size = j - i
-                total = np.concatenate([[0], np.cumsum(size)])
-                flat = np.repeat(i - total[:-1], size) + np.arange(total[-1])
-                hit = np.concatenate([[0], np.cumsum(inside[p.term[flat], np.repeat(k, size)])])
-                enough = np.flatnonzero(hit[total[1:]] - hit[total[:-1]] >= PARTIAL * length[k])
-                for e in enough.tolist():
-                    item, at = int(k[e]), int(row[e])
-                    near = (p.term[i[e] : j[e]] + 1).tolist()
-                    cover = common(whole[item], int(length[item]), near) / int(length[item])
-                    if cover < PARTIAL:
-                        continue
-                    answer = common(tail[item], len(answers[item]), near) / len(answers[item]) if len(answers[item]) else 1.0
-                    if cover >= COVER or answer >= ANSWERED:
-                        now = (round(cover, 6), round(answer, 6), round(float(c[e]), 3), -int(a[e] - first[at]), int(z[e] - first[at]))
-                        if (at, item) not in best or now > best[at, item]:
-                            best[at, item] = now
+                c, k = c[h, k], owner[k]
+                order = np.lexsort((-c, k, h))
+                h, k, c = h[order], k[order], c[order]
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])]) if len(h) else np.zeros(0, bool)
+                h, k, c = h[new] + s, k[new], c[new]  # the best of an item's queries
+                for group in range(0, len(h), 20_000):
+                    some = slice(group, group + 20_000)
+                    _align(doc, first, at, term, terms, p, h[some], k[some], c[some], reach, counts, whole, tail, items.tails, best)
             if best:
-                at = np.array([row for row, _ in best])
+                rows = np.array([row for row, _ in best])
                 v = list(best.values())
-                yield pa.RecordBatch.from_arrays([ids_back(doc[at]), pa.array(items.ids[[item for _, item in best]]), pa.array([-x[3] for x in v], pa.int64()), pa.array([x[4] for x in v], pa.int64()), pa.array([x[2] for x in v], pa.float64()), pa.array([x[0] for x in v], pa.float64()), pa.array([x[1] for x in v], pa.float64())], names=["doc_id", "item_id", "start_token", "end_token", "cosine", "coverage", "answer_coverage"])
+                yield pa.RecordBatch.from_arrays([ids_back(doc[rows]), pa.array(items.ids[[item for _, item in best]]), pa.array([-x[3] for x in v], pa.int64()), pa.array([x[4] for x in v], pa.int64()), pa.array([x[2] for x in v], pa.float64()), pa.array([x[0] for x in v], pa.float64()), pa.array([x[1] for x in v], pa.float64())], names=["doc_id", "item_id", "start_token", "end_token", "cosine", "coverage", "answer_coverage"])
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = RANK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _align(doc, first, at, term, terms, p, h, k, c, reach, counts, whole, tail, tails, best) -> None:
+    """Candidates (half-window, item, cosine) to the best match of each row and item."""
+    row = p.row[h]
+    a, z = np.maximum(first[row], p.start[h] - reach[k]), np.minimum(first[row + 1], p.start[h] + 2 * HALF + reach[k])
+    i, j = np.searchsorted(at, a), np.searchsorted(at, z)
+    size = j - i
+    total = np.concatenate([[0], np.cumsum(size)])
+    flat = np.repeat(i - total[:-1], size) + np.arange(total[-1])
+    which, near = np.repeat(np.arange(len(k)), size), term[flat]
+    hit = counts[near, k[which]] > 0
+    # The words that a stretch and an item share, as often as both have them, bound their common subsequence.
+    pair, n = np.unique(which[hit] * terms + near[hit], return_counts=True)
+    e, t = np.divmod(pair, terms)
+    shared = np.bincount(e, np.minimum(n, counts[t, k[e]]), minlength=len(k))
+    for e in np.flatnonzero(shared >= PARTIAL * reach[k]).tolist():
+        item, r = int(k[e]), int(row[e])
+        words = term[i[e] : j[e]]
+        words = (words[counts[words, item] > 0] + 1).tolist()
+        cover = common(whole[item], int(reach[item]), words) / int(reach[item])
+        if cover < PARTIAL:
+            continue
+        answer = common(tail[item], tails[item], words) / tails[item] if tails[item] else cover
+        if cover >= COVER or answer >= ANSWERED:
+            now = (round(cover, 6), round(answer, 6), round(float(c[e]), 3), -int(a[e] - first[r]), int(z[e] - first[r]))
+            if (r, item) not in best or now > best[r, item]:
+                best[r, item] = now
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = RANK, shortest: int = SHORTEST, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The best match of each document and item that it leaks: doc_id, item_id, the stretch searched, cosine, coverage, answer_coverage."""
     spark = docs.sparkSession
-    items = Items(benchmark)
-    if not len(items.ids):
-        return spark.createDataFrame([], RESULT)
+    known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct()
+    blocks = 1 + int(known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    placed = Stored(rows.mapInArrow(lean(_placed(spark.sparkContext.broadcast(items.terms))), "doc binary, first binary, place binary, halves long, df binary"), "places")
+    parts = []
+    for i in range(blocks):
+        some = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i) if blocks > 1 else known
+        items = Items(some.toArrow(), shortest)
+        if len(items.ids):
+            parts.append(_searched(rows, items, cosine, rank).df)
+    if not parts:
+        return spark.createDataFrame([], RESULT)
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.union(more)
+    first = W.partitionBy("doc_id", "item_id").orderBy(F.desc("coverage"), F.desc("answer_coverage"), F.desc("cosine"), "start_token", "end_token")
+    return found.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+
+
+def _searched(rows: DataFrame, items: Items, cosine: float, rank: int) -> Stored:
+    """All rows' matches with a block of items."""
+    context = rows.sparkSession.sparkContext
+    placed = Stored(rows.mapInArrow(lean(_placed(context.broadcast(items.terms))), "doc binary, first binary, place binary, halves long, df binary"), "places")
     weight = term_weights(placed.df, items)
     latent = np.ascontiguousarray(weight[:, None] * latent_axes(placed.df, weight, rank), np.float32)
-    queries = np.array([latent[p - 1].sum(axis=0) for p in items.places], np.float32).T
-    queries /= np.maximum(np.sqrt((queries**2).sum(axis=0)), 1e-9)
-    shared = spark.sparkContext.broadcast((items, latent, queries, weight > 0))
+    shared = context.broadcast((items, latent, *items.queries(latent), weight > 0))
     found = Stored(placed.df.select("doc", "first", "place").mapInArrow(lean(_matched(shared, cosine)), RESULT), "leaks")
     placed.drop()
-    first = W.partitionBy("doc_id", "item_id").orderBy(F.desc("coverage"), F.desc("answer_coverage"), F.desc("cosine"), "start_token", "end_token")
-    return found.df.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    return found
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
