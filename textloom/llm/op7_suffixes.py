@@ -5,20 +5,23 @@ Tokens are runs without ASCII white space; a repeat is a run of ``length`` token
 1. Candidates.  In every run of ``length - ANCHOR + 1`` shingles of ``ANCHOR`` tokens the least hash is an anchor, so two copies of a
    repeat share an anchor.  Anchors that occur once are dropped; what lies within ``length`` of the others are the
    candidate regions.  No repeat lies outside them.  Equal regions are kept once, with a mark; their other copies are later
-   occurrences as a whole.
+   occurrences as a whole.  (``whole`` takes all texts as regions instead, with the same result.)
 2. Sampled triples.  The triples of tokens at the positions 1 and 2 modulo 3 of each region are sorted, range-partitioned by sampled splitters, and
    named by rank.  The names' triples are sorted and named in turn (3, 9, 27, ... tokens), until a name covers ``length``
    tokens, which is as deep as the order is needed; names that are unique need no further round.
 3. The remaining suffixes (position 0 modulo 3) are sorted by token and the next suffix's name, and merged with the sampled ones
    by comparing (token, name) with those at 1 and (token, token, name) with those at 2.
 4. Adjacent suffixes whose first ``length`` tokens agree are occurrences of one repeat: the least (doc_id, position) is its first, the
-   others are later ones; positions merge to maximal intervals by document and role.
+   others are later ones; positions merge to maximal intervals by document and role.  A chunk of regions merges and compares its own suffixes
+   first, token by token, and sends one for each that differ; between chunks, neighbours are compared by 64-bit hashes of the tokens.
 
-Between rounds the state is a table in the shared folder.
+Anchors, regions and suffixes that many texts share are combined where they are before they are sent, so a passage of any number of
+copies sends a row for each batch or chunk.  Between rounds the state is a table in the shared folder.
 
 Defined cases: a NULL or short text has no repeat; an empty table gives no rows; rows of one doc_id count as
 copies of one document, whose intervals are pooled (at the same position they tie, and all are first); a NULL
-doc_id is an id of its own, less than all others; further columns are ignored.
+doc_id is an id of its own, less than all others (an id of -2**63 is read as NULL); further columns are ignored; a very long text is
+read in pieces of 8 MB, in memory by its number of tokens.
 """
 
 from __future__ import annotations
@@ -30,15 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .op8_windows import RESULT, intervals, send_found
-from .packed import Stored, batch, buckets, gather, lean, lean_pair, lean_table, pack, split, unpack
+from .op8_windows import _FOUND, RESULT, home, intervals, send_found
+from .packed import Stored, batch, buckets, combined, gather, lean, lean_pair, lean_table, pack, split, unpack
 from .text import NULL_ID, RAW, buffers, ids_of, mix, slices, window_hashes, window_starts
 
 LENGTH, ANCHOR, FLUSH, SPLITTERS = 50, 25, 1_000_000, 32
 U64 = np.uint64
-_SENT = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary()), ("again", pa.binary())])
 _NEAR = pa.schema([("bucket", pa.int32()), ("doc", pa.binary()), ("pos", pa.binary())])
-_REGION = pa.schema([("chunk", pa.int32()), ("h", pa.binary()), ("doc", pa.binary()), ("start", pa.binary()), ("size", pa.binary()), ("count", pa.binary()), ("words", pa.binary()), ("codes", pa.binary())])
+_REGION = pa.schema([("chunk", pa.int32()), ("h", pa.binary()), ("doc", pa.binary()), ("start", pa.binary()), ("size", pa.binary()), ("twice", pa.binary()), ("words", pa.binary()), ("codes", pa.binary())])
 _TRIPLE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("at", pa.binary())])
 _NAMED = pa.schema([("chunk", pa.int32()), ("at", pa.binary()), ("name", pa.binary()), ("open", pa.binary())])
 _SUFFIX = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("words", "t0", "t1", "r0", "r1", "r2", "kind", "h", "doc", "pos", "twice"))])
@@ -73,9 +76,15 @@ def anchors(h: np.ndarray, first: np.ndarray, wide: int) -> np.ndarray:
 
 
 def _anchored(length: int, size: int, n: int):
+    """mapInArrow function: a batch's anchors; of equal ones the least by hash in the buckets from 0, the others by document in those from n."""
+
     def emit(held):
         h, doc, pos = (np.concatenate(x) for x in zip(*held))
-        rows = [(i, pack(h[at], plain=True), pack(doc[at]), pack(pos[at])) for i, at in split((h >> U64(32)) % U64(n), n)]
+        least, again, later = combined(h, doc, pos)
+        h, d, p = h[least], doc[least], pos[least]
+        rows = [(i, pack(h[at], plain=True), pack(d[at]), pack(p[at]), pack(again[at])) for i, at in split((h >> U64(32)) % U64(n), n)]
+        d, p = doc[later], pos[later]
+        rows += [(n + i, b"", pack(d[at]), pack(p[at]), b"") for i, at in split(_home(d, n), n)]
         for k in range(0, len(rows), 256):
             yield batch(_SENT, rows[k : k + 256])
 
@@ -102,13 +111,15 @@ def _anchored(length: int, size: int, n: int):
 
 
 def _repeated(n: int):
+    """A bucket's anchors that occur again, by document."""
+
     def run(table: pa.Table) -> pa.Table:
-        h, doc, pos = gather(table["h"]), gather(table["doc"]), gather(table["pos"])
-        order = np.argsort(h)
-        same = h[order[1:]] == h[order[:-1]]
-        keep = np.zeros(len(h), bool)
-        keep[order[1:]] |= same
-        keep[order[:-1]] |= same
+        bucket = table["bucket"][0].as_py()
+        if bucket >= n:
+            return _rows(_NEAR, [(bucket - n, d.as_py(), p.as_py()) for d, p in zip(table["doc"], table["pos"])])
+        doc, pos = gather(table["doc"]), gather(table["pos"])
+        least, again, later = combined(gather(table["h"]), doc, pos, gather(table["again"]))
+        keep = np.concatenate([least[again], later])
         doc, pos = doc[keep], pos[keep]
         return _rows(_NEAR, [(i, pack(doc[at]), pack(pos[at])) for i, at in split(_home(doc, n), n)])
 
@@ -125,7 +136,26 @@ def _home_column(doc: str, n: int):
     return F.pmod(c.bitwiseXOR(F.shiftright(c, 20)), F.lit(n)).cast("int")
 
 
-def _regions(length: int, size: int, n: int):
+def _sent_regions(doc, start, span, words, n: int, m: int) -> list[tuple]:
+    """Regions (their words one after the other) by hash: of equal ones the least, with its words and a mark; the others by document."""
+    edge = np.concatenate([[0], np.cumsum(span)])
+    place = np.arange(len(words)) - np.repeat(edge[:-1], span)
+    h = mix(np.add.reduceat(mix(words + mix(place.astype(U64) * U64(0xA0761D6478BD642F))), edge[:-1]) + span.astype(U64))
+    least, again, later = combined(h, doc, start)
+    rows = []
+    for i, k in split((h[least] >> U64(32)) % U64(m), m):
+        at = least[k]
+        flat = np.repeat(edge[at] - (np.cumsum(span[at]) - span[at]), span[at]) + np.arange(span[at].sum())
+        known, codes = np.unique(words[flat], return_inverse=True)
+        rows.append((i, pack(h[at], plain=True), pack(doc[at]), pack(start[at]), pack(span[at].astype(np.int32)), pack(again[k]), pack(known, plain=True), pack(codes.astype(np.uint32))))
+    return rows + _copy_rows(doc[later], start[later], span[later], n)
+
+
+def _copy_rows(doc, start, span, n: int) -> list[tuple]:
+    return [(-1 - i, b"", pack(doc[k]), pack(start[k]), pack(span[k].astype(np.int32)), b"", b"", b"") for i, k in split(_home(doc, n), n)]
+
+
+def _regions(length: int, size: int, n: int, m: int):
     """cogroup function: (bucket's documents, their repeated anchors) to candidate regions by hash of their words."""
 
     def run(texts: pa.Table, near: pa.Table) -> pa.Table:
@@ -162,54 +192,47 @@ def _regions(length: int, size: int, n: int):
                 continue
             flat = np.repeat(s.first[row] + start - (np.cumsum(span) - span), span) + np.arange(span.sum())
             out.append((here[row], start, span, s.hashes[flat]))
-        if not out:
-            return _rows(_REGION, [])
-        doc, start, span, words = (np.concatenate(x) for x in zip(*out))
-        edge = np.concatenate([[0], np.cumsum(span)])
-        place = np.arange(len(words)) - np.repeat(edge[:-1], span)
-        h = mix(np.add.reduceat(mix(words + mix(place.astype(U64) * U64(0xA0761D6478BD642F))), edge[:-1]) + span.astype(U64))
-        rows = []
-        for i, at in split((h >> U64(32)) % U64(n), n):
-            at = at[np.lexsort((start[at], doc[at], h[at]))]
-            first = np.concatenate([[True], h[at][1:] != h[at][:-1]])
-            held = at[first]
-            flat = np.concatenate([np.arange(edge[k], edge[k + 1]) for k in held])
-            known, codes = np.unique(words[flat], return_inverse=True)
-            rows.append((i, pack(h[at], plain=True), pack(doc[at]), pack(start[at]), pack(span[at].astype(np.int32)), pack(np.cumsum(first) - 1), pack(known, plain=True), pack(codes.astype(np.uint32))))
-        return _rows(_REGION, rows)
+        return _rows(_REGION, _sent_regions(*(np.concatenate(x) for x in zip(*out)), n, m) if out else [])
+
+    return run
+
+
+def _whole(length: int, n: int, m: int):
+    """mapInArrow function: whole texts of ``length`` tokens or more as regions."""
+
+    def run(batches):
+        for b in batches:
+            ids = ids_of(b.column(0))
+            for s in slices(b.column(1), RAW, target=1 << 23):
+                span = s.counts()
+                long = np.flatnonzero(span >= length)
+                if len(long):
+                    words = s.hashes[np.repeat(span >= length, span)]
+                    yield batch(_REGION, _sent_regions(ids[s.rows][long], np.zeros(len(long), np.int64), span[long], words, n, m))
 
     return run
 
 
 def _distinct(n: int):
-    """A chunk's regions, equal ones once: the row to keep has a chunk >= 0; other copies go by document with chunk -1 - bucket."""
+    """A chunk's regions, equal ones once; other copies go by document with chunk -1 - bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         chunk = table["chunk"][0].as_py()
-        hs, docs, starts, spans, texts = [], [], [], [], []
+        if chunk < 0:
+            return table
+        hs, docs, starts, spans, marks, texts = [], [], [], [], [], []
         for i in range(table.num_rows):
-            h, doc, start, span, which, known, codes = (unpack(table[k][i].as_buffer()) for k in ("h", "doc", "start", "size", "count", "words", "codes"))
-            head = np.concatenate([[True], h[1:] != h[:-1]])
-            edge = np.concatenate([[0], np.cumsum(span[head])])
+            h, doc, start, span, twice, known, codes = (unpack(table[k][i].as_buffer()) for k in ("h", "doc", "start", "size", "twice", "words", "codes"))
+            edge = np.concatenate([[0], np.cumsum(span)])
             words = known[codes]
-            hs.append(h), docs.append(doc), starts.append(start), spans.append(span)
-            texts += [(words, int(edge[k]), int(edge[k + 1])) for k in which]
-        h, doc, start, span = (np.concatenate(x) for x in (hs, docs, starts, spans))
-        order = np.lexsort((start, doc, h))
-        h, doc, start, span = h[order], doc[order], start[order], span[order].astype(np.int64)
-        head = np.concatenate([[True], h[1:] != h[:-1]])
-        heads = np.flatnonzero(head)
-        size = np.diff(np.append(heads, len(h)))
-        words = np.concatenate([w[a:z] for w, a, z in (texts[order[k]] for k in heads)])
+            hs.append(h), docs.append(doc), starts.append(start), spans.append(span), marks.append(twice)
+            texts += [(words, int(edge[k]), int(edge[k + 1])) for k in range(len(h))]
+        h, doc, start, span, marks = (np.concatenate(x) for x in (hs, docs, starts, spans, marks))
+        least, twice, later = combined(h, doc, start, marks)
+        words = np.concatenate([w[a:z] for w, a, z in (texts[k] for k in least)])
         known, codes = np.unique(words, return_inverse=True)
-        rows = [(chunk, b"", pack(doc[heads]), pack(start[heads]), pack(span[heads].astype(np.int32)), pack((size > 1).astype(np.int8)), pack(known, plain=True), pack(codes.astype(np.uint32)))]
-        group = np.repeat(heads, size)
-        later = (doc != doc[group]) | (start != start[group])
-        at = np.flatnonzero(later)
-        for i, k in split(_home(doc[at], n), n):
-            k = at[k]
-            rows.append((-1 - i, b"", pack(doc[k]), pack(start[k]), pack(span[k].astype(np.int32)), b"", b"", b""))
-        return _rows(_REGION, rows)
+        row = (chunk, b"", pack(doc[least]), pack(start[least]), pack(span[least].astype(np.int32)), pack(twice.astype(np.int8)), pack(known, plain=True), pack(codes.astype(np.uint32)))
+        return _rows(_REGION, [row, *_copy_rows(doc[later], start[later], span[later].astype(np.int64), n)])
 
     return run
 
@@ -219,7 +242,7 @@ class Chunk:
 
     def __init__(self, row: dict):
         self.id = row["chunk"]
-        self.doc, self.start, self.size, self.twice = (unpack(row[k]) for k in ("doc", "start", "size", "count"))
+        self.doc, self.start, self.size, self.twice = (unpack(row[k]) for k in ("doc", "start", "size", "twice"))
         self.words = unpack(row["words"])[unpack(row["codes"])]
         self.size = self.size.astype(np.int64)
         first = np.cumsum(self.size) - self.size
@@ -339,8 +362,24 @@ def _next_triples(step: int, n: int):
     return run
 
 
-def _suffixes(shared, length: int):
-    """A chunk's suffixes of ``length`` words or more, to the bucket of their first triple."""
+def alike(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Whether the suffixes at neighbouring places of ``at`` agree in their first ``length`` words, compared word by word."""
+    same = np.zeros(max(0, len(at) - 1), bool)
+    left = np.arange(len(same))
+    for k in range(length):
+        left = left[words[at[left] + k] == words[at[left + 1] + k]]
+        if not len(left):
+            return same
+    same[left] = True
+    return same
+
+
+def _suffixes(shared, length: int, m: int):
+    """A chunk's suffixes of ``length`` words or more, to the bucket of their first triple.
+
+    The chunk's own suffixes are merged and compared first: of those that agree, the least goes, with a mark, and the others, being later
+    occurrences for certain, go by document to the buckets beyond the ranges.
+    """
 
     def run(batches):
         splitters = shared.value
@@ -349,16 +388,26 @@ def _suffixes(shared, length: int):
             c = Chunk(row)
             names = unpack(row["name"])
             at = np.flatnonzero(c.left >= length)
-            h = window_hashes(c.words, length)[at]
             t0, t1, t2 = c.words[at], c.ahead(c.words, at, 1), c.ahead(c.words, at, 2)
             r = [c.ahead(names, at, k) for k in range(3)]
             kind = (c.place[at] % 3).astype(np.int8)
-            doc, pos, twice = c.doc[c.region[at]], (c.start[c.region[at]] + c.place[at]).astype(np.int32), c.twice[c.region[at]]
+            order = merged_order(t0, t1, *r, kind)
+            group = np.empty(len(at), np.int64)
+            group[order] = np.cumsum(np.concatenate([[False], ~alike(c.words, at[order], length)])) if len(at) else 0
+            doc, pos = c.doc[c.region[at]], (c.start[c.region[at]] + c.place[at]).astype(np.int32)
+            least, twice, later = combined(group, doc, pos, c.twice[c.region[at]] > 0)
+            back = np.argsort(least)
+            least, twice = least[back], twice[back]
+            h = window_hashes(c.words, length)[at[least]]
+            t0, t1, t2, kind, d, p = t0[least], t1[least], t2[least], kind[least], doc[least], pos[least]
+            r = [x[least] for x in r]
             rows = []
             for i, k in split(_range(splitters, t0, t1, t2), n):
                 words, code = np.unique(np.concatenate([t0[k], t1[k]]), return_inverse=True)
                 code = code.astype(np.uint32)
-                rows.append((i, pack(words, plain=True), pack(code[: len(k)]), pack(code[len(k) :]), *(pack(x[k]) for x in r), pack(kind[k]), pack(h[k], plain=True), pack(doc[k]), pack(pos[k]), pack(twice[k])))
+                rows.append((i, pack(words, plain=True), pack(code[: len(k)]), pack(code[len(k) :]), *(pack(x[k]) for x in r), pack(kind[k]), pack(h[k], plain=True), pack(d[k]), pack(p[k]), pack(twice[k].astype(np.int8))))
+            d, p = doc[later], pos[later]
+            rows += [(n + i, *[b""] * 8, pack(d[k]), pack(p[k]), b"") for i, k in split(home(d, m), m)]
             for k in range(0, len(rows), 256):
                 yield batch(_SUFFIX, rows[k : k + 256])
 
@@ -384,28 +433,25 @@ def merged_order(t0, t1, r0, r1, r2, kind) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def _adjacent(n: int):
-    """Occurrences of a bucket's repeats: neighbours in the suffix array whose first ``length`` words agree."""
+def _adjacent(ranges: int, n: int):
+    """Occurrences of a bucket's repeats: neighbours in the suffix array whose first ``length`` words agree, by a 64-bit hash of them."""
 
     def run(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        if bucket >= ranges:
+            some = [(bucket - ranges, d.as_py(), p.as_py(), pack(np.ones(len(unpack(p.as_buffer())), bool))) for d, p in zip(table["doc"], table["pos"])]
+            return pa.Table.from_batches([batch(_FOUND, some)])
         t0, t1 = [], []
         for x, a, b in zip(table["words"], table["t0"], table["t1"]):
             words = unpack(x.as_buffer())
             t0.append(words[unpack(a.as_buffer())]), t1.append(words[unpack(b.as_buffer())])
         r0, r1, r2, kind, h, doc, pos, twice = (gather(table[k]) for k in ("r0", "r1", "r2", "kind", "h", "doc", "pos", "twice"))
         order = merged_order(np.concatenate(t0), np.concatenate(t1), r0, r1, r2, kind)
-        h, doc, pos, twice = h[order], doc[order], pos[order].astype(np.int64), twice[order] > 0
-        head = np.concatenate([[True], h[1:] != h[:-1]])
-        heads = np.flatnonzero(head)
-        size = np.diff(np.append(heads, len(h)))
-        group = np.repeat(np.arange(len(heads)), size)
-        keep = (size[group] > 1) | twice
-        doc, pos, group = doc[keep], pos[keep], group[keep]
-        by = np.lexsort((pos, doc, group))
-        doc, pos, group = doc[by], pos[by], group[by]
-        least = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
-        first = np.flatnonzero(least)[np.cumsum(least) - 1] if len(group) else np.zeros(0, np.int64)
-        return send_found(doc, pos.astype(np.int32), (doc != doc[first]) | (pos != pos[first]), n)
+        group = np.empty(len(h), np.int64)
+        group[order] = np.cumsum(np.concatenate([[False], h[order[1:]] != h[order[:-1]]]))
+        least, again, later = combined(group, doc, pos, twice > 0)
+        head = least[again]
+        return send_found(np.concatenate([doc[head], doc[later]]), np.concatenate([pos[head], pos[later]]).astype(np.int32), np.arange(len(head) + len(later)) >= len(head), n)
 
     return run
 
@@ -422,8 +468,11 @@ def _copies(length: int, n: int):
     return run
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", n: int | None = None) -> DataFrame:
-    """Maximal intervals of tokens in repeats: doc_id, start_token, end_token, n_tokens, role (first, later)."""
+def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", n: int | None = None, whole: bool = False) -> DataFrame:
+    """Maximal intervals of tokens in repeats: doc_id, start_token, end_token, n_tokens, role (first, later).
+
+    ``whole``: the suffix array is that of all texts, not of the candidate regions; the result is the same.
+    """
     if length < 4:
         raise ValueError("length must be 4 or more")
     spark = docs.sparkSession
@@ -431,12 +480,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     size = max(2, length // 2) if length != LENGTH else ANCHOR
     m = max(4, n // 4)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    near = rows.mapInArrow(lean(_anchored(length, size, n)), _ddl(_SENT)).groupBy("bucket").applyInArrow(lean_table(_repeated(n)), _ddl(_NEAR))
-    near = Stored(near, "anchors")
-    texts = rows.select(_home_column("doc_id", n).alias("bucket"), "doc_id", "text")
-    found = texts.groupBy("bucket").cogroup(near.df.groupBy("bucket")).applyInArrow(lean_pair(_regions(length, size, n)), _ddl(_REGION))
-    regions = Stored(found.groupBy("chunk").applyInArrow(lean_table(_distinct(m)), _ddl(_REGION)), "regions")
-    near.drop()
+    if whole:
+        regions = Stored(rows.mapInArrow(lean(_whole(length, n, m)), _ddl(_REGION)).groupBy("chunk").applyInArrow(lean_table(_distinct(n)), _ddl(_REGION)), "regions")
+    else:
+        near = rows.mapInArrow(lean(_anchored(length, size, n)), _ddl(_SENT)).groupBy("bucket").applyInArrow(lean_table(_repeated(n)), _ddl(_NEAR))
+        near = Stored(near, "anchors")
+        texts = rows.select(_home_column("doc_id", n).alias("bucket"), "doc_id", "text")
+        found = texts.groupBy("bucket").cogroup(near.df.groupBy("bucket")).applyInArrow(lean_pair(_regions(length, size, n, m)), _ddl(_REGION))
+        regions = Stored(found.groupBy("chunk").applyInArrow(lean_table(_distinct(n)), _ddl(_REGION)), "regions")
+        near.drop()
     chunks, copies = regions.df.where("chunk >= 0"), regions.df.where("chunk < 0")
     drawn = chunks.mapInArrow(lean(_drawn), "a long, b long, c long").toArrow()
     triples = np.stack([drawn[k].to_numpy().view(U64) for k in "abc"], axis=1) if drawn.num_rows else np.zeros((0, 3), U64)
@@ -453,9 +505,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
         after = Stored(state.df.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(lean_pair(_updated(True)), _ddl(_NAMED)), "names")
         state.drop()
         state, covered = after, covered * 3
-    suffixes = chunks.join(state.df.drop("at"), "chunk").mapInArrow(lean(_suffixes(shared, length)), _ddl(_SUFFIX))
+    suffixes = chunks.join(state.df.drop("at"), "chunk").mapInArrow(lean(_suffixes(shared, length, m)), _ddl(_SUFFIX))
     kind = "bucket int, doc binary, pos binary, later binary"
-    hits = suffixes.groupBy("bucket").applyInArrow(lean_table(_adjacent(m)), kind)
+    hits = suffixes.groupBy("bucket").applyInArrow(lean_table(_adjacent(ranges, m)), kind)
     hits = hits.union(copies.mapInArrow(lean(_copies(length, m)), kind))
     result = Stored(hits.groupBy("bucket").applyInArrow(lean_table(intervals(length)), RESULT), "intervals")
     regions.drop(), state.drop()
