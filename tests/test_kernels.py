@@ -1,6 +1,9 @@
 """Splits, byte chunks, packing, counters and chunkers on small literals, and their invariants on random texts."""
 
 
+import random
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -261,3 +264,73 @@ def test_adapters():
         with pytest.raises(kind):
             f(bad)
     assert HashEmbedder().embed("")[0] == 1
+
+
+def slow_semantic(text, o, embed):
+    """Semantic chunks from the definitions: polynomials fitted to each window, percentiles, then greedy packing."""
+    merged = []
+    for s in [x for x in re.findall(r"(?s).*?(?:\. |! |\? |\n)|.+$", text) if x]:
+        if merged and (len(merged[-1].encode()) < o.min_characters_per_sentence or len(s.encode()) < o.min_characters_per_sentence):
+            merged[-1] += s
+        else:
+            merged.append(s)
+    n, w = len(merged), o.similarity_window
+    if n <= w:
+        return ["".join(merged)]
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    curve = [cos(*embed(["".join(merged[i : i + w]), merged[i + w]])) for i in range(n - w)]
+    cuts = [0]
+    if len(curve) >= o.filter_window:
+        found, half = [], o.filter_window // 2
+        for i in range(len(curve)):
+            places = [abs(i + d) for d in range(-half, half + 1)]
+            near = [curve[min(max(2 * len(curve) - p - 2 if p >= len(curve) else p, 0), len(curve) - 1)] for p in places]
+            fit = np.polynomial.Polynomial.fit(range(-half, half + 1), near, o.filter_polyorder, domain=[-1, 1]).coef
+            if abs(fit[1]) < o.filter_tolerance and 2 * fit[2] > 0:
+                found.append(i)
+        limit = np.percentile([curve[i] for i in found], o.threshold * 100) if found else 0
+        kept = []
+        for i in found:
+            if curve[i] <= limit and (not kept or i - kept[-1] >= o.min_sentences_per_chunk):
+                kept.append(i)
+        cuts += [i + w for i in kept if i + w < n]
+    groups = [merged[a:z] for a, z in zip(cuts, cuts[1:] + [n]) if a < z]
+    if o.skip_window:
+        v, i, joined = embed(["".join(g) for g in groups]), 0, []
+        while i < len(groups):
+            ahead = {j: cos(v[i], v[j]) for j in range(i + 1, min(i + o.skip_window + 1, len(groups) - 1) + 1)}
+            best = max(ahead, key=lambda j: (ahead[j], -j), default=None)
+            j = best if best is not None and ahead[best] >= o.threshold else i
+            joined.append([s for g in groups[i : j + 1] for s in g])
+            i = j + 1
+        groups = joined
+    out = []
+    for g in groups:
+        held = [g[0]]
+        for s in g[1:]:
+            if sum(map(len, held)) + len(s) > o.chunk_size:
+                out.append("".join(held))
+                held = []
+            held.append(s)
+        out.append("".join(held))
+    return out
+
+
+def test_semantic_and_sdpm_against_brute_force_and_in_batches():
+    r, e, c = random.Random(7), HashEmbedder(), counter("char")
+    say = lambda: " ".join(r.choice(["alpha", "beta", "gamma", "délta", "money", "house", "tree"]) + str(r.randrange(9)) for _ in range(r.randrange(2, 9))) + r.choice([". ", "! ", "? ", "\n"])
+    texts = ["".join(say() for _ in range(r.randrange(0, 60))) for _ in range(40)] + ["", " \n"]
+    for o in (K.SemanticOptions(0.6, 400), K.SemanticOptions(0.9, 150, skip_window=1), K.SemanticOptions(0.3, 2000, min_sentences_per_chunk=3, skip_window=2)):
+        calls = []
+
+        def embed(some):
+            calls.append(len(some))
+            return e.embed_batch(some)
+
+        got = K.semantic_batch([t.encode() for t in texts], o, c, embed)
+        assert len(calls) == (2 if o.skip_window else 1)
+        for t, pieces in zip(texts, got):
+            assert pieces == K.semantic_chunks(t.encode(), o, c, e.embed_batch)
+            assert parts(t, pieces) == (slow_semantic(t, o, e.embed_batch) if t.strip() else [])
+    with pytest.raises(ValueError):
+        K.semantic_batch([t.encode() for t in texts], o, c, lambda some: e.embed_batch(some)[:-1])

@@ -440,6 +440,33 @@ class SemanticOptions:
 
 def semantic_chunks(data: bytes, o: SemanticOptions, c: Counter, embed) -> list[Piece]:
     """``embed``: a list of texts to a list of vectors."""
+    return semantic_batch([data], o, c, embed)[0]
+
+
+def semantic_batch(texts: list[bytes], o: SemanticOptions, c: Counter, embed) -> list[list[Piece]]:
+    """The chunks of each text; what all texts want embedded goes to the model in one call a step."""
+    out: list[list[Piece]] = [[] for _ in texts]
+    todo = [(i, semantic_steps(data, o, c), None) for i, data in enumerate(texts)]
+    while todo:
+        asked = []
+        for i, steps, vectors in todo:
+            try:
+                asked.append((i, steps, steps.send(vectors)))
+            except StopIteration as end:
+                out[i] = end.value
+        wanted = [t for _, _, some in asked for t in some]
+        vectors = embed(wanted) if wanted else []
+        if len(vectors) < len(wanted):
+            raise ValueError("the embedder gave fewer vectors than texts")
+        todo, at = [], 0
+        for i, steps, some in asked:
+            todo.append((i, steps, vectors[at : at + len(some)]))
+            at += len(some)
+    return out
+
+
+def semantic_steps(data: bytes, o: SemanticOptions, c: Counter):
+    """A generator of lists of texts, which is sent their vectors, and returns the chunks."""
     if is_blank(data):
         return []
     sentences = split(data, encode_all(o.delim), include_mode(o.include_delim), o.min_characters_per_sentence)
@@ -449,10 +476,8 @@ def semantic_chunks(data: bytes, o: SemanticOptions, c: Counter, embed) -> list[
     if n <= w:
         return [piece(0, n)] if n else []
     text = lambda a, z: data[sentences[a][0] : sentences[z - 1][1]].decode()
-    before, after = embed([text(i, i + w) for i in range(n - w)]), embed([text(i + w, i + w + 1) for i in range(n - w)])
-    if len(before) < n - w or len(after) < n - w:
-        raise ValueError("the embedder gave fewer vectors than texts")
-    curve = [signals.cosine(a, b) for a, b in zip(before, after)]
+    vectors = yield [text(i, i + w) for i in range(n - w)] + [text(i + w, i + w + 1) for i in range(n - w)]
+    curve = [signals.cosine(a, b) for a, b in zip(vectors[: n - w], vectors[n - w :])]
     cuts = [0]
     if len(curve) >= o.filter_window and o.filter_window % 2:
         places, _ = signals.filter_splits(*signals.minima(curve, o.filter_window, o.filter_polyorder, o.filter_tolerance), o.threshold, o.min_sentences_per_chunk)
@@ -460,7 +485,7 @@ def semantic_chunks(data: bytes, o: SemanticOptions, c: Counter, embed) -> list[
     cuts = sorted(set(cuts)) + [n]
     groups = list(zip(cuts[:-1], cuts[1:]))
     if o.skip_window and len(groups) > 1:
-        groups = skip_merge(groups, embed([text(a, z) for a, z in groups]), o.skip_window, o.threshold)
+        groups = skip_merge(groups, (yield [text(a, z) for a, z in groups]), o.skip_window, o.threshold)
     out = []
     for a, z in groups:
         at = a

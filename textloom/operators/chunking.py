@@ -47,9 +47,10 @@ class _Rows:
         return pa.RecordBatch.from_arrays(columns, schema=self.schema)
 
 
-def expand(df: DataFrame, column: str, fields: list[T.StructField], kernel: Callable[[], Callable[[bytes], Iterable[tuple]]]) -> DataFrame:
+def expand(df: DataFrame, column: str, fields: list[T.StructField], kernel: Callable[[], Callable], batched: bool = False) -> DataFrame:
     """Rows of ``df`` repeated for each tuple that the kernel makes of ``column``; ``kernel()`` is built once a task.
 
+    It takes the bytes of a row, or with ``batched`` a list of them (of ``MOST_BYTES`` or one row) and gives the rows' tuples one by one.
     A column of ``df`` with the name of a new one is replaced, ``column`` included.
     """
     if column not in df.columns:
@@ -65,10 +66,8 @@ def expand(df: DataFrame, column: str, fields: list[T.StructField], kernel: Call
             if arrow is None:
                 arrow = pa.schema([b.schema.field(i) for i in range(len(others))] + [pa.field(f.name, _arrow(f.dataType)) for f in fields])
             rows = _Rows(b, list(range(len(others))), fields, arrow)
-            for i, data in enumerate(b.column(len(others)).to_pylist()):
-                if data is None:
-                    continue
-                for values in made(data):
+            for i, found in _made(b.column(len(others)).to_pylist(), made, batched):
+                for values in found:
                     rows.add(i, values, 64 + sum(len(v) for v in values if isinstance(v, (bytes, str))))
                     if rows.bytes >= MOST_BYTES:
                         yield rows.flush()
@@ -78,6 +77,22 @@ def expand(df: DataFrame, column: str, fields: list[T.StructField], kernel: Call
     return source.mapInArrow(run, schema)
 
 
+def _made(column: list[bytes | None], kernel, batched: bool) -> Iterator[tuple[int, Iterable[tuple]]]:
+    """(row, its tuples) of the rows that aren't NULL."""
+    known = [(i, data) for i, data in enumerate(column) if data is not None]
+    if not batched:
+        yield from ((i, kernel(data)) for i, data in known)
+        return
+    at = 0
+    while at < len(known):
+        size, end = 0, at
+        while end < len(known) and (end == at or size + len(known[end][1]) <= MOST_BYTES):
+            size += len(known[end][1])
+            end += 1
+        yield from zip((i for i, _ in known[at:end]), kernel([data for _, data in known[at:end]]))
+        at = end
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -129,12 +144,16 @@ def chunk_table(df: DataFrame, text: str = "text", **options) -> DataFrame:
 
 
 def chunk_semantic(df: DataFrame, embedder, text: str = "text", **options) -> DataFrame:
-    """Cuts where the similarity of a window of sentences to the next one is least. ``embedder``: see ``adapt``."""
+    """Cuts where the similarity of a window of sentences to the next one is least. ``embedder``: see ``adapt``; it is called for many rows at once."""
     from ..functions.embedders import adapt
 
     o, model = K.SemanticOptions(**options), adapt(embedder)
     made = counter(o.tokenizer)
-    return expand(df, text, _CHUNK, lambda: _texts(lambda data: K.semantic_chunks(data, o, made, model)))
+
+    def run(texts: list[bytes]):
+        return [[(i, s, e, n, data[s:e]) for i, (s, e, n) in enumerate(found)] for data, found in zip(texts, K.semantic_batch(texts, o, made, model))]
+
+    return expand(df, text, _CHUNK, lambda: run, batched=True)
 
 
 def chunk_sdpm(df: DataFrame, embedder, text: str = "text", **options) -> DataFrame:
