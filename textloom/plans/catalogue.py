@@ -12,7 +12,7 @@ from ..functions.embedders import CharTokenEmbedder, TopicEmbedder
 from ..kernels.chunkers import SENTENCE_ENDS
 from ..operators import chunking as ops
 from ..operators import documents, series
-from .oracles import WHITE, bytes_consecutive_sql, bytes_patterns_sql, late_sql, one_byte_each, recursive_chunks_sql, sentence_overlap_sql
+from .oracles import WHITE, bytes_consecutive_sql, bytes_patterns_sql, code_sql, late_sql, one_byte_each, recursive_chunks_sql, sentence_overlap_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -254,7 +254,7 @@ def code_brace(spark, sf_dir):
     return ops.chunk_code(made, chunk_size=30, language="c").select("k", "chunk_index", "token_count", "text")
 
 
-@query()
+@query(code_sql(256))
 def code_auto(spark, sf_dir):
     return ops.chunk_code(texts(spark, sf_dir), chunk_size=256)
 

@@ -122,3 +122,36 @@ def bytes_consecutive_sql(size: int) -> str:
     begin = f"greatest({size}, {skip})"
     after = f"nullif(length(regexp_extract(substr(b, CAST(e + {begin} AS INTEGER)), '(?s)^(.*?[^ ]) ', 1)), 0)"
     return _cuts(one_byte_each("text"), size, f"e + coalesce({inside}, {begin} - 1 + {after})")
+
+
+def code_sql(size: int) -> str:
+    """Blocks of lines by the family that each text seems to be of, joined up to so many bytes; what is larger is cut at lines."""
+    count = lambda sign: f"(strlen(s) - strlen(replace(s, '{sign}', '')))"
+    left, right = (f"regexp_replace(s, '{x}', '')" for x in ("^" + WHITE[1:-1], WHITE[1:-1] + "$"))
+    return f"""
+WITH RECURSIVE lines AS (
+  SELECT doc_id, i, s[i] AS s, len(s) AS n, regexp_full_match(s[i], {WHITE}) AS blank
+  FROM (SELECT doc_id, regexp_extract_all(text, '([^\\n]*\\n|[^\\n]+$)', 1) AS s FROM documents WHERE NOT regexp_full_match(text, {WHITE})), unnest(range(1, len(s) + 1)) AS r(i)),
+family AS (
+  SELECT doc_id, CASE WHEN braces >= 2 AND braces >= signs THEN 'braces' WHEN signs > 0 THEN 'indent' ELSE 'generic' END AS f, {size} * greatest(1, bytes // chars) AS most
+  FROM (SELECT doc_id, sum({count("{")}) AS braces, CAST(sum(strlen(s)) AS BIGINT) AS bytes, CAST(sum(length(s)) AS BIGINT) AS chars,
+               sum(CASE WHEN regexp_matches({left}, '^(def |class |import |from )') THEN 1 ELSE 0 END + CASE WHEN regexp_matches({right}, ':$') THEN 1 ELSE 0 END) AS signs FROM lines GROUP BY doc_id)),
+ends AS (
+  SELECT doc_id, i, s, f, most, CASE WHEN NOT lead(blank) OVER w AND (blank OR (f = 'braces' AND sum({count("{")} - {count("}")}) OVER w <= 0)
+         OR (f = 'indent' AND NOT regexp_matches(lead(s) OVER w, '^[ \\t]'))) THEN 1 ELSE 0 END AS cut
+  FROM lines JOIN family USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT doc_id, i, s, most, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) - cut AS b FROM ends),
+blocks AS (SELECT doc_id, b, most, string_agg(s, '' ORDER BY i) AS s, min(i) AS i, sum(strlen(s)) > most AS large FROM numbered GROUP BY doc_id, b, most),
+runs AS (SELECT *, 2 * sum(CASE WHEN large THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY b) + CASE WHEN large THEN 0 ELSE 1 END AS g FROM blocks),
+units AS (
+  SELECT doc_id, g, most, i, s FROM runs WHERE NOT large
+  UNION ALL SELECT l.doc_id, r.g, r.most, l.i, l.s FROM runs AS r JOIN numbered AS l ON r.doc_id = l.doc_id AND r.b = l.b WHERE r.large),
+sums AS (SELECT *, CAST(sum(strlen(s)) OVER (PARTITION BY doc_id, g ORDER BY i) AS BIGINT) AS t FROM units),
+src AS (SELECT doc_id, g, most, list(s ORDER BY i) AS m, list_prepend(0, list(t ORDER BY i)) AS t FROM sums GROUP BY doc_id, g, most),
+packed AS (
+  SELECT doc_id, g, most, t, 0 AS k, CAST(0 AS BIGINT) AS a, CAST(greatest(1, len(list_filter(t[2:], lambda x: x <= most))) AS BIGINT) AS z FROM src
+  UNION ALL
+  SELECT doc_id, g, most, t, k + 1, z, CAST(greatest(z + 1, z + len(list_filter(t[z + 2:], lambda x: x <= t[z + 1] + most))) AS BIGINT) FROM packed WHERE z < len(t) - 1),
+chunks AS (SELECT p.doc_id, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.g, k) - 1 AS i, array_to_string(m[a + 1:z], '') AS text FROM packed AS p JOIN src AS s ON p.doc_id = s.doc_id AND p.g = s.g)
+SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, CAST(sum(strlen(text)) OVER w - strlen(text) AS BIGINT) AS start_index, CAST(sum(strlen(text)) OVER w AS BIGINT) AS end_index,
+       CAST(length(text) AS BIGINT) AS token_count, text FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY i)"""
