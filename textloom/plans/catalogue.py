@@ -364,13 +364,33 @@ def md_segments(spark, sf_dir):
 
 @query()
 def md_chunks(spark, sf_dir):
-    made = texts(spark, sf_dir).select("doc_id", F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.col("text")).alias("markdown"))
+    key = F.col("doc_id").cast("string")
+    tail = F.concat(F.lit("\n\n## Data\n\n| key | twice |\n|---|---|\n| "), key, F.lit(" | "), (F.col("doc_id") * 2).cast("string"), F.lit(" |\n\n```py\nkey = "), key, F.lit("\n```\n"))
+    made = texts(spark, sf_dir).select("doc_id", F.concat(F.lit("# Doc "), key, F.lit("\n\n"), F.col("text"), tail).alias("markdown"))
     return documents.chunk_markdown(made)
 
 
+def _converted(rows: DataFrame, content, format: str) -> DataFrame:
+    return documents.convert_documents(rows.select("k", F.encode(content, "UTF-8").alias("content")), format=format).select("k", "markdown")
+
+
 @query("""
-SELECT '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |' || chr(10), '' ORDER BY n_nationkey) AS markdown FROM nation""")
+SELECT CAST(c_nationkey AS BIGINT) AS k, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ', Esq. |' || chr(10), '' ORDER BY c_custkey) AS markdown
+FROM customer GROUP BY c_nationkey""")
 def csv_to_md(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("a"))
-    text = F.concat(F.lit("n_nationkey,n_name\n"), F.array_join(F.transform("a", lambda x: F.concat(x["n_nationkey"].cast("string"), F.lit(","), x["n_name"])), "\n"))
-    return documents.convert_documents(rows.select(F.encode(text, "UTF-8").alias("content")), format="csv").select("markdown")
+    made = _customers(spark, sf_dir, "key,name\n", F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), F.col("c_name"), F.lit(', Esq."\n')), "")
+    return _converted(made, F.col("text"), "csv")
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS k, c_name || chr(10) || chr(10) || 'Größe {' || c_nationkey || '}' || chr(10) AS markdown FROM customer")
+def rtf_to_md(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"), "c_name", F.col("c_nationkey").cast("string").alias("n"))
+    head = "{\\rtf1\\ansi{\\fonttbl{\\f0 Arial;}}\\f0 "
+    return _converted(rows, F.concat(F.lit(head), F.col("c_name"), F.lit("\\par Gr\\'f6\\u223 ?e \\{"), F.col("n"), F.lit("\\}}")), "rtf")
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS k, '# ' || c_name || chr(10) || chr(10) || 'One of the customers' || chr(10) || 'of nation (' || c_nationkey || ')' || chr(10) AS markdown FROM customer")
+def pdf_to_md(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"), "c_name", F.col("c_nationkey").cast("string").alias("n"))
+    head, mid = "%PDF-1.4\nstream\nBT /F1 20 Tf (", ") Tj ET BT /F1 10 Tf 0 -30 Td [(One of the) -300 (customers)] TJ T* (of nation \\("
+    return _converted(rows, F.concat(F.lit(head), F.col("c_name"), F.lit(mid), F.col("n"), F.lit("\\)) Tj ET\nendstream\n")), "pdf")
