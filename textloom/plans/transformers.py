@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking
 
-_BY_NAME = {"token": chunking.chunk_token, "sentence": chunking.chunk_sentence, "recursive": chunking.chunk_recursive, "code": chunking.chunk_code, "table": chunking.chunk_table, "semantic": chunking.chunk_semantic, "sdpm": chunking.chunk_sdpm, "late": chunking.chunk_late, "bytes": chunking.chunk_bytes}
+KINDS = ("token", "sentence", "recursive", "code", "table", "semantic", "sdpm", "late", "bytes")
+_BY_NAME = {kind: getattr(chunking, f"chunk_{kind}") for kind in KINDS}
 
 
 class ChunkTransformer(Transformer):
