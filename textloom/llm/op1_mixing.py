@@ -8,14 +8,16 @@ left half takes its number of blocks by a multivariate hypergeometric draw over
 has exact block counts, and together they use up the quotas.  A shard's blocks of a source are a run of the source's order,
 disjoint from all others; the shard is then shuffled locally.  The tree needs only the sources' counts.
 
-The order's ranks come from counts by (source, hash range), added up, and a rank inside each range, so a hot source is
-spread over as many tasks as its ranges; no table is sorted as a whole.
+A document's shard follows from where its hash lies between those of the documents at its source's shard ends.  Counts by (source, hash
+range), added up, tell in which range each end lies; only those ranges are ranked.  So texts are moved once, to their shard, and a
+hot source is nowhere in one task.  Positions in a shard are ranks in hash ranges of the shard, after counts of those.
 
 Where ``total`` asks for more than a source has, its order is gone through again (``epoch`` counts the passes).
 
 Defined cases: a NULL source is a source of its own, 'NULL' in ``weights`` by key None; sources without a weight have
 weight 0; repeated rows count each; an empty table, or none of the weighted sources, gives no rows; NULL texts and ids are kept like any
-other; ties in the hash go by doc_id, then by the whole row's hash (equal rows are alike); columns named like the result's are replaced.
+other; ties in the hash go by doc_id (NULL as -2**63), then by the row's hash without map and variant columns, and rows that are equal but for
+those take one place together, so a shard's end never parts them; columns named like the result's are replaced; texts of any length are only moved.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SHARDS, BLOCK, SEED, RANGES, POWER = 16, 64, 17, 256, 0.7
+from .packed import Stored
+
+SHARDS, BLOCK, SEED, POWER, BROADCAST_SOURCES = 16, 64, 17, 0.7, 4096
 
 
 def quotas(counts: dict, weights: dict, total: int | None = None) -> dict:
@@ -73,6 +77,12 @@ def tempered(counts: dict, power: float = POWER) -> dict:
     return {s: float(n) ** power for s, n in counts.items() if n}
 
 
+def _reached(end, epoch, h, key, row):
+    """Whether a document is at or beyond an end (epoch, whole, h, key, row) in an epoch; the row's hash is only made at a tie."""
+    beyond = end["whole"] | (h > end["h"]) | ((h == end["h"]) & ((key > end["key"]) | ((key == end["key"]) & (row >= end["row"]))))
+    return (epoch > end["epoch"]) | ((epoch == end["epoch"]) & beyond)
+
+
 def mix(docs: DataFrame, weights: dict | None = None, total: int | None = None, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, power: float = POWER, columns: list[str] | None = None) -> DataFrame:
     """The drawn rows with epoch, shard and position (from 0 in each shard); ``columns`` are kept, all by default.
 
@@ -85,35 +95,62 @@ def mix(docs: DataFrame, weights: dict | None = None, total: int | None = None,
     ordered = docs.select(*{*keep, "doc_id", "source"})
     hashed = sorted(c for c, kind in ordered.dtypes if "map<" not in kind and kind not in ("variant", "void"))
     row = F.xxhash64(*[F.col(c) for c in hashed])
-    names = {"h": F.xxhash64("doc_id", F.lit(seed)), "row": row, "range": F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 56).cast("int"), "src": F.col("source").cast("string")}
-    ordered = ordered.select(F.struct(*keep).alias("doc"), F.col("doc_id").cast("long").alias("id"), *[v.alias(k) for k, v in names.items()])
-    ordered = ordered.withColumn("h", F.col("h").bitwiseXOR(F.lit(-(1 << 63))))  # unsigned order, as the ranges'
-    spread = ordered.groupBy("src", "range").agg(F.count("*").alias("n")).collect()  # sources x 256 numbers
-    counts: dict = {}
-    for r in spread:
-        counts[r.src] = counts.get(r.src, 0) + r.n
+    least = F.lit(-(1 << 63))
+    names = {
+        "h": F.xxhash64("doc_id", F.lit(seed)).bitwiseXOR(least),  # unsigned order, as the ranges'
+        "key": F.coalesce(F.col("doc_id").cast("long"), least),
+        "range": F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 56).cast("int"),
+        "src": F.col("source").cast("string"),
+    }
+    names = {f"__{k}": v for k, v in names.items()}
+    ordered = ordered.select("*", *[v.alias(k) for k, v in names.items()])
+    spread = Stored(ordered.groupBy("__src", "__range").agg(F.count("*").alias("n")), "spread")
+    counts = {r[0]: r.n for r in spread.df.groupBy("__src").agg(F.sum("n").alias("n")).collect()}
     if weights is None and total is None:
         target = tempered(counts, power)
         quota = {s: max(n, counts[s]) for s, n in quotas(counts, target, covering(counts, target)).items()}  # rounding takes none
     else:
         quota = quotas(counts, tempered(counts, power) if weights is None else weights, total)
     sources = sorted(quota, key=lambda s: (s is not None, s))
-    drawn = np.array([quota[s] for s in sources], np.int64)
-    tree = split_tree(-(-drawn // block), shards, seed)
-    ends = np.cumsum(tree, axis=0) * block  # shard j has places ends[j-1] <= place < ends[j] of a source
-    plan = [(s, counts[s], int(n), [int(x) for x in ends[:, i]]) for i, (s, n) in enumerate(zip(sources, drawn))]
-    before, at = [], {}
-    for r in sorted(spread, key=lambda r: r.range):
-        before.append((r.src, r.range, at.get(r.src, 0)))
-        at[r.src] = at.get(r.src, 0) + r.n
-    tables = spark.createDataFrame(plan, "s string, have long, quota long, ends array<long>"), spark.createDataFrame(before, "s2 string, r2 int, before long")
-    plans, starts = (F.broadcast(t) if len(counts) <= 4096 else t for t in tables)
-    ranked = ordered.withColumn("place", F.row_number().over(W.partitionBy("src", "range").orderBy("h", F.col("id"), "row")) - 1)
-    ranked = ranked.join(starts, F.col("src").eqNullSafe(F.col("s2")) & (F.col("range") == F.col("r2"))).join(plans, F.col("src").eqNullSafe(F.col("s")))
-    rank = F.col("before") + F.col("place")
-    passes = F.when(rank < F.col("quota"), F.sequence(F.lit(0), F.floor((F.col("quota") - 1 - rank) / F.col("have")).cast("int")))
-    placed = ranked.withColumn("rank", rank).withColumn("epoch", F.explode(passes)).withColumn("n", F.col("rank") + F.col("epoch") * F.col("have"))
-    placed = placed.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("n"))).cast("int"))
-    local = W.partitionBy("shard").orderBy(F.xxhash64("id", "epoch", F.lit(seed + 1)), "id", "epoch", "row")
-    out = placed.withColumn("position", (F.row_number().over(local) - 1).cast("long"))
-    return out.select(*[F.col("doc").getField(c).alias(c) for c in keep], F.col("epoch").cast("int").alias("epoch"), "shard", "position")
+    tree = split_tree(-(-np.array([quota[s] for s in sources], np.int64) // block), shards, seed)
+    cuts = [np.append(np.minimum(np.cumsum(tree[:, i]) * block, quota[s]), quota[s]).tolist() for i, s in enumerate(sources)]  # shard j has places cuts[j-1] <= place < cuts[j]
+
+    # The documents at the ends: which hash range each is in, and its place there.
+    ends = spark.createDataFrame([(s, m) for s, at in zip(sources, cuts) for m in sorted({x % counts[s] for x in at} - {0})], "s string, m long")
+    up = W.partitionBy("__src").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = spread.df.withColumn("before", F.coalesce(F.sum("n").over(up), F.lit(0)))
+    found = ends.join(ranges, F.col("s").eqNullSafe(F.col("__src")) & (F.col("before") <= F.col("m")) & (F.col("m") < F.col("before") + F.col("n")))
+    places = found.select("s", "m", F.col("__range").alias("r"), (F.col("m") - F.col("before") + 1).alias("place"))
+    few = len(sources) <= BROADCAST_SOURCES
+    small = F.broadcast if few else lambda t: t
+    inside = ordered.join(small(places.select("s", "r").distinct()), F.col("__src").eqNullSafe(F.col("s")) & (F.col("__range") == F.col("r")))
+    ranked = inside.select("s", "r", "__h", "__key", row.alias("__row")).withColumn("place", F.row_number().over(W.partitionBy("s", "r").orderBy("__h", "__key", "__row")))
+    at = ranked.alias("a").join(small(places).alias("b"), F.col("a.s").eqNullSafe(F.col("b.s")) & (F.col("a.r") == F.col("b.r")) & (F.col("a.place") == F.col("b.place")))
+    keys = {(r.s, r.m): (r.h, r.key, r.row) for r in at.select("a.s", "b.m", F.col("__h").alias("h"), F.col("__key").alias("key"), F.col("__row").alias("row")).collect()}
+    spread.drop()
+
+    plan = []
+    for s, places_of in zip(sources, cuts):
+        have = counts[s]
+        marks = [(x // have, x % have == 0, *keys.get((s, x % have), (0, 0, 0))) for x in places_of]
+        plan.append((s, marks[-1], marks[:-1]))
+    mark = "struct<epoch:int, whole:boolean, h:long, key:long, row:long>"
+    plans = small(spark.createDataFrame(plan, f"__s string, __last {mark}, __ends array<{mark}>"))
+    drawn = ordered.join(plans, F.col("__src").eqNullSafe(F.col("__s"))).withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__last.epoch"))))
+    here = (F.col("__epoch"), F.col("__h"), F.col("__key"), row)
+    drawn = drawn.where(~_reached(F.col("__last"), *here))
+    drawn = drawn.withColumn("__shard", F.size(F.filter("__ends", lambda e: _reached(e, *here))).cast("int"))
+    local = F.xxhash64("doc_id", "__epoch", F.lit(seed + 1))
+    drawn = drawn.withColumns({"__l": local.bitwiseXOR(least), "__lr": F.shiftrightunsigned(local, 56).cast("int")})
+    have = {(r[0], r[1]): r.n for r in drawn.groupBy("__shard", "__lr").agg(F.count("*").alias("n")).collect()}  # shards x 256 numbers
+    first, start = [], 0
+    for i, (shard, r) in enumerate(sorted(have)):
+        start = start if first and first[-1][0] == shard else 0
+        first.append((shard, r, start))
+        start += have[shard, r]
+    starts = spark.createDataFrame(first, "__s2 int, __r2 int, __first long")
+    starts = F.broadcast(starts) if len(first) <= 256 * BROADCAST_SOURCES else starts
+    within = W.partitionBy("__shard", "__lr").orderBy("__l", "__key", "__epoch", "__row")
+    packed = drawn.select(F.struct(*keep).alias("__doc"), "__shard", "__lr", "__l", "__key", "__epoch", row.alias("__row"))
+    out = packed.withColumn("__n", F.row_number().over(within) - 1).join(starts, (F.col("__shard") == F.col("__s2")) & (F.col("__lr") == F.col("__r2")))
+    return out.select(*[F.col("__doc").getField(c).alias(c) for c in keep], F.col("__epoch").cast("int").alias("epoch"), F.col("__shard").alias("shard"), (F.col("__first") + F.col("__n")).cast("long").alias("position"))
