@@ -177,7 +177,10 @@ def _scanned(shared, coverage: float, spread: float):
                             out.append((s.rows.start + i, m[2], -m[1], m[3], m[4], m[5]))
                 if out:
                     c = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(c[0])), pa.array(c[1], pa.string()), pa.array(c[2], pa.float64()), *(pa.array(x, pa.int64()) for x in c[3:])], names=["doc_id", "license", "coverage", "n_aligned", "start_token", "end_token"])
+                    columns = [b.column(0).take(pa.array(c[0])), pa.array(c[1], pa.string()), pa.array(c[2], pa.float64())]
+                    columns += [pa.array(x, pa.int64()) for x in c[3:]]
+                    names = ["doc_id", "license", "coverage", "n_aligned", "start_token", "end_token"]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 

@@ -188,7 +188,9 @@ def _summed(parts: DataFrame) -> tuple[np.ndarray, int]:
 
 def term_weights(placed: DataFrame, items: Items) -> np.ndarray:
     """By document frequency over all half-windows; 0 for what is too common to tell anything."""
-    df, n = _summed(placed.select(F.lit(0).alias("part"), "halves", F.col("df").alias("sums")).withColumn("part", F.pmod(F.xxhash64("sums"), F.lit(64)).cast("int")).groupBy("part").applyInArrow(lean_table(_added), "part int, halves long, sums binary").withColumn("part", F.lit(0)))
+    parts = placed.select(F.pmod(F.xxhash64("df"), F.lit(64)).cast("int").alias("part"), "halves", F.col("df").alias("sums"))
+    parts = parts.groupBy("part").applyInArrow(lean_table(_added), "part int, halves long, sums binary")
+    df, n = _summed(parts.withColumn("part", F.lit(0)))
     if not n:
         return np.zeros(len(items.terms))
     weight = np.log((1 + n) / (1 + df))
@@ -268,7 +270,15 @@ def _matched(shared, cosine: float):
             if best:
                 rows = np.array([row for row, _ in best])
                 v = list(best.values())
-                yield pa.RecordBatch.from_arrays([ids_back(doc[rows]), pa.array(items.ids[[item for _, item in best]]), pa.array([-x[3] for x in v], pa.int64()), pa.array([x[4] for x in v], pa.int64()), pa.array([x[2] for x in v], pa.float64()), pa.array([x[0] for x in v], pa.float64()), pa.array([x[1] for x in v], pa.float64())], names=["doc_id", "item_id", "start_token", "end_token", "cosine", "coverage", "answer_coverage"])
+                found = [
+                    ids_back(doc[rows]),
+                    pa.array(items.ids[[item for _, item in best]]),
+                    pa.array([-x[3] for x in v], pa.int64()),
+                    pa.array([x[4] for x in v], pa.int64()),
+                    *(pa.array([x[i] for x in v], pa.float64()) for i in (2, 0, 1)),
+                ]
+                names = ["doc_id", "item_id", "start_token", "end_token", "cosine", "coverage", "answer_coverage"]
+                yield pa.RecordBatch.from_arrays(found, names=names)
 
     return run
 

@@ -60,7 +60,10 @@ def features(urls: pa.Array) -> tuple[np.ndarray, list, list]:
     labels = pc.split_pattern(host, ".")
     longest = np.array([max(map(len, x)) for x in labels.to_pylist()], float)
     words = labels.to_pylist()
-    columns = [size(urls), size(host), size(path), _counts(path, _bytes(b"/")), _counts(urls, digit) / length, entropy, q, _counts(host, _bytes(b"-")), _counts(host, _bytes(b".")) + 1, size(query), size(fragment), _counts(urls, _bytes(bytes(range(65, 91)))), _counts(host, digit), longest, np.array(pc.equal(pc.utf8_lower(scheme), "https")).astype(float), _counts(urls, _bytes(b"%"))]
+    secure = np.array(pc.equal(pc.utf8_lower(scheme), "https")).astype(float)
+    columns = [size(urls), size(host), size(path), _counts(path, _bytes(b"/")), _counts(urls, digit) / length, entropy, q]
+    columns += [_counts(host, _bytes(b"-")), _counts(host, _bytes(b".")) + 1, size(query), size(fragment)]
+    columns += [_counts(urls, _bytes(bytes(range(65, 91)))), _counts(host, digit), longest, secure, _counts(urls, _bytes(b"%"))]
     return np.stack([np.asarray(c, float) for c in columns], axis=1), [w[-1] for w in words], [".".join(w[-2:]) for w in words]
 
 
