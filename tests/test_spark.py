@@ -4,6 +4,7 @@ import time
 
 import pytest
 from oracle import connect, same
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -152,7 +153,7 @@ def test_sql_functions(spark, docs):
     assert spark.sql("SELECT * FROM chunk_table('| a |\n|---|\n| 1 |\n| 2 |\n', 1)").count() == 2
 
 
-def test_transformers(spark, docs):
+def test_transformers(spark, docs, tmp_path):
     out = ChunkTransformer("token", outputCol="piece", chunk_size=50).transform(docs)
     assert {"id", "piece"} <= set(out.columns) and out.count() > 5
     with pytest.raises(ValueError):
@@ -160,6 +161,10 @@ def test_transformers(spark, docs):
     for kind, options in (("semantic", {"embedder": TopicEmbedder(["hello"])}), ("late", {"embedder": CharTokenEmbedder()}), ("bytes", {"size": 9})):
         out = ChunkTransformer(kind, outputCol="piece", **options).transform(docs)
         assert {"id", "piece"} <= set(out.columns) and out.count() > 2
+    stage = ChunkTransformer("sentence", outputCol="piece", chunk_size=60, delim=[". "])
+    Pipeline(stages=[stage]).save(f"{tmp_path}/stages")
+    again = Pipeline.load(f"{tmp_path}/stages").fit(docs).transform(docs)
+    assert again.columns == stage.transform(docs).columns and again.exceptAll(stage.transform(docs)).count() == 0 < again.count()
     rows = spark.createDataFrame([("d", "word " * 30, {"k": "v"}), (None, "x", None), ("e", "", {"k": "w"})], "id string, text string, meta_data map<string,string>")
     got = sorted(((r.id, r.meta_data) for r in retrieval_records(rows, kind="token", chunk_size=100).collect()), key=str)
     assert got == sorted([("d_1", {"k": "v", "chunk": "1", "chunk_size": "100"}), ("d_2", {"k": "v", "chunk": "2", "chunk_size": "50"}), (None, {"chunk": "1", "chunk_size": "1"}), ("e", {"k": "w"})], key=str)

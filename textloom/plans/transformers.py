@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Transformer
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,20 +17,31 @@ KINDS = ("token", "sentence", "recursive", "code", "table", "semantic", "sdpm",
 _BY_NAME = {kind: getattr(chunking, f"chunk_{kind}") for kind in KINDS}
 
 
-class ChunkTransformer(Transformer):
-    """Rows to a row for each chunk; all other columns (a document's metadata) are copied. Semantic, sdpm and late take an ``embedder``."""
+class ChunkTransformer(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Rows to a row for each chunk; all other columns (a document's metadata) are copied.
+
+    Semantic, sdpm and late take an ``embedder``, which is not saved with the stage: set ``embedder`` after loading one.
+    """
+
+    kind = Param(Params._dummy(), "kind", "the chunker", TypeConverters.toString)
+    options = Param(Params._dummy(), "options", "the chunker's options as JSON", TypeConverters.toString)
 
-    def __init__(self, kind: str = "recursive", inputCol: str = "text", outputCol: str = "text", **options):
+    def __init__(self, kind: str = "recursive", inputCol: str = "text", outputCol: str = "text", embedder=None, **options):
         super().__init__()
         if kind not in _BY_NAME:
             raise ValueError(f"kind must be one of {sorted(_BY_NAME)}")
-        self.kind, self.input, self.output, self.options = kind, inputCol, outputCol, options
+        self.embedder = embedder
+        self._setDefault(inputCol="text", outputCol="text", kind="recursive", options="{}")
+        self._set(inputCol=inputCol, outputCol=outputCol, kind=kind, options=json.dumps(options))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        if self.kind == "bytes":
-            return chunking.chunk_bytes(dataset, self.input, output=self.output, **self.options)
-        out = _BY_NAME[self.kind](dataset, text=self.input, **self.options)
-        return out.withColumnRenamed("text", self.output) if self.output != "text" else out
+        kind, column, output = self.getOrDefault(self.kind), self.getInputCol(), self.getOutputCol()
+        options = json.loads(self.getOrDefault(self.options))
+        if kind == "bytes":
+            return chunking.chunk_bytes(dataset, column, output=output, **options)
+        model = {"embedder": self.embedder} if kind in ("semantic", "sdpm", "late") else {}
+        out = _BY_NAME[kind](dataset, text=column, **model, **options)
+        return out.withColumnRenamed("text", output) if output != "text" else out
 
 
 def retrieval_records(df: DataFrame, text: str = "text", id_col: str = "id", metadata: str = "meta_data", kind: str = "recursive", **options) -> DataFrame:
