@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import op1_mixing, op2_toxicity, op3_neardup, op4_decontamination, op5_urls, op6_fingerprints, op7_suffixes, op8_windows, op9_tokens, op10_licenses
+from textloom.llm.packed import combined, drawn
 from textloom.llm.text import WORD, slices
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, bucket int, `group` string"
@@ -38,6 +40,49 @@ def empty(spark):
 LABELS = "doc_id long, quality int, toxic int, score string"
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    """A text's tokens are the same whatever the pieces, also where one token is longer than a piece."""
+    from textloom.llm import text as T
+
+    r = random.Random(2)
+    for table in (T.RAW, T.WORD):
+        t = "".join(r.choice(["a", "é", " ", "\n", ".", "漢", "x" * r.randrange(1, 300), "  "]) for _ in range(3000))
+        column = pa.array([t])
+        one = next(slices(column, table))
+        for piece in (1, 7, 64, 5000):
+            monkeypatch.setattr(T, "PIECE", piece)
+            s = next(slices(column, table))
+            for a, b in ((one.starts, s.starts), (one.ends, s.ends), (one.hashes, s.hashes), (one.first, s.first), (one.bounds, s.bounds)):
+                np.testing.assert_array_equal(a, b)
+        monkeypatch.undo()
+
+
+def test_a_text_of_50_megabytes(spark):
+    """Its repeats and tokens are those of its text, though it is read in pieces."""
+    part = words(5000, 41, 4000)
+    table = spark.createDataFrame([(1, part)], "doc_id long, text string").select("doc_id", F.concat(F.repeat(F.concat("text", F.lit(" ")), 0), F.repeat(F.concat("text", F.lit(" \n")), 50_000_000 // (len(part) + 2))).alias("text"))
+    size = 50_000_000 // (len(part) + 2) * 5000
+    got = sorted((r.start_token, r.end_token, r.role) for r in op8_windows.repeated_windows(table).collect())
+    assert got == [(0, 5049, "first"), (5000, size, "later")]
+    assert op6_fingerprints.sketch(table).first().n_shingles == 5000
+
+
+def test_shared_folder(spark):
+    """Without spark.checkpoint.dir a cluster is refused; a local session gets a folder of its own."""
+    from types import SimpleNamespace
+
+    from textloom.llm.packed import shared_dir
+
+    none = SimpleNamespace(get=lambda *_: None)
+    fake = lambda master: SimpleNamespace(conf=none, sparkContext=SimpleNamespace(master=master, getConf=lambda: none))
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            shared_dir(fake(master))
+    assert shared_dir(fake("local[4]")) == shared_dir(fake("local"))
+    given = SimpleNamespace(get=lambda *_: "hdfs:///x")
+    assert shared_dir(SimpleNamespace(conf=given, sparkContext=None)) == "hdfs:///x"
+
+
 # 1 mixing
 
 
@@ -88,6 +133,33 @@ def test_mixing_query_has_whole_documents(spark, small):
     assert set(spark.read.parquet(f"{small}/documents.parquet").columns) <= set(queries.QUERIES["op1_mixing"](spark, small).columns)
 
 
+def test_mixing_against_brute_force(spark):
+    """Shards and positions from a sort of each source by hash and from the tree, with NULL sources, extra columns and epochs."""
+    rows = [(i, f"text {i}", [None, "a", "b", "c"][min(3, int(i**0.5) // 9)]) for i in range(900)]
+    table = docs(spark, rows).withColumns({"shard": F.lit("mine"), "position": F.lit(1.5), "epoch": F.lit(None).cast("string"), "h": F.lit(3), "src": F.lit("x")})
+    for kind in ({"weights": {None: 1, "a": 2, "b": 1.5}, "total": 700}, {"weights": {"c": 1}}, {}, {"power": 1.0}, {"total": 0}):
+        out = op1_mixing.mix(table, shards=6, block=16, **kind)
+        assert out.columns == [*docs(spark, []).columns, "h", "src", "epoch", "shard", "position"] and dict(out.dtypes)["epoch"] == "int"
+        hashes = {r.doc_id: r for r in table.select("doc_id", "source", F.xxhash64("doc_id", F.lit(op1_mixing.SEED)).alias("x")).collect()}
+        local = {(r.doc_id, r.e): r.x % 2**64 for r in table.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(60))).alias("e")).select("doc_id", "e", F.xxhash64("doc_id", "e", F.lit(op1_mixing.SEED + 1)).alias("x")).collect()}
+        counts = Counter(s for _, _, s in rows)
+        if kind.get("weights") or "total" in kind:
+            quota = op1_mixing.quotas(counts, kind.get("weights") or op1_mixing.tempered(counts), kind.get("total"))
+        else:
+            t = op1_mixing.tempered(counts, kind.get("power", op1_mixing.POWER))
+            quota = {s: max(n, counts[s]) for s, n in op1_mixing.quotas(counts, t, op1_mixing.covering(counts, t)).items()}
+        sources = sorted(quota, key=lambda s: (s is not None, s))
+        tree = op1_mixing.split_tree(np.array([-(-quota[s] // 16) for s in sources], np.int64), 6)
+        shards = defaultdict(list)
+        for k, s in enumerate(sources):
+            order = sorted((r for r in hashes.values() if r.source == s), key=lambda r: (r.x % 2**64, r.doc_id))
+            ends = np.cumsum(tree[:, k]) * 16
+            for n in range(quota[s]):
+                shards[int((ends <= n).sum())].append((order[n % len(order)].doc_id, n // len(order)))
+        want = {(j, p, d, e) for j, at in shards.items() for p, (d, e) in enumerate(sorted(at, key=lambda x: (local[x], x[0], x[1])))}
+        assert {(r.shard, r.position, r.doc_id, r.epoch) for r in out.collect()} == want
+
+
 def test_pipeline_mixing_keeps_every_document_once(spark):
     import corpus_pipeline as p
 
@@ -163,8 +235,7 @@ def test_nearest_is_exact():
 
 
 def stems_of(word):
-    b = word.encode()
-    return [b[:4], *([b[:5]] if len(b) > 4 else [])]
+    return [word.encode()[: op2_toxicity.STEM]]
 
 
 def test_toxicity_against_brute_force(spark):
@@ -362,9 +433,57 @@ def test_leaks_are_found(spark):
     assert kept.count() == 300 - len({d for d, _ in got})
 
 
+def leak_case(spark):
+    r = random.Random(12)
+    items = {k: ". ".join(words(r.randrange(6, 25), 900 + 7 * k + j, 300) for j in range(1 + k % 3)) + "." for k in range(10)}
+    rows = []
+    for i in range(24):
+        t = words(90 + i, 500 + i, 300).split()
+        w = items[i % 10].replace(".", "").split()
+        for _ in range(i // 4):
+            w[r.randrange(len(w))] = f"q{r.randrange(99)}"
+        at = r.randrange(len(t))
+        rows.append((i, " ".join(t[:at] + w + t[at:]), "a"))
+    return docs(spark, rows), spark.createDataFrame([(k, t, 1) for k, t in items.items()], "item_id long, text string, doc_id int"), rows, items
+
+
+def test_leaks_against_brute_force(spark):
+    """With every passage a candidate, leaks are all stretches whose common subsequence suffices; with the index at least 95 % of them."""
+    table, bench_table, rows, items = leak_case(spark)
+    want = {}
+    for i, text, _ in rows:
+        t = text.split()
+        for k, item in items.items():
+            w = item.replace(".", "").split()
+            n, tail = len(w), len(item.rstrip(".").split(".")[-1].split()) if "." in item.rstrip(".") else 0
+            for start in range(0, len(t), 16):
+                near = t[max(0, start - n) : start + 32 + n]
+                cover = lcs(w, near) / n
+                answer = lcs(w[n - tail :], near) / tail if tail else cover
+                if cover >= op4_decontamination.COVER or cover >= op4_decontamination.PARTIAL and answer >= op4_decontamination.ANSWERED:
+                    want[i, k] = max(want.get((i, k), (0, 0)), (round(cover, 6), round(answer, 6)))
+    assert len(want) >= 15
+    full = op4_decontamination.leaks(table, bench_table, cosine=-2.0).collect()
+    assert {(r.doc_id, r.item_id): (r.coverage, r.answer_coverage) for r in full} == want
+    got = {(r.doc_id, r.item_id) for r in op4_decontamination.leaks(table, bench_table).collect()}
+    assert got <= set(want) and len(got) >= 0.95 * len(want)
+    blocks = op4_decontamination.leaks(table, bench_table, cosine=-2.0, block_bytes=400).collect()
+    assert {(r.doc_id, r.item_id): (r.coverage, r.answer_coverage) for r in blocks} == want
+
+
+def test_long_and_short_items(spark):
+    long = {k: words(600, 70 + k, 5000) for k in range(6)}
+    rows = [(k, words(300, k, 5000) + " " + t + " " + words(300, 50 + k, 5000), "a") for k, t in long.items()] + [(10 + k, words(900, 200 + k, 5000), "a") for k in range(20)]
+    items = spark.createDataFrame([(k, t) for k, t in long.items()] + [(99, rows[8][1].split()[5])], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in op4_decontamination.leaks(docs(spark, rows), items).collect()}
+    assert got == {(k, k) for k in long}
+    found = {(r.doc_id, r.item_id) for r in op4_decontamination.leaks(docs(spark, rows), items, cosine=-2.0, shortest=1).collect()}
+    assert {d for d, k in found if k == 99} == {i for i, t, _ in rows if rows[8][1].split()[5] in t.split()}
+
+
 def test_latent_axes_match_a_full_svd(spark):
     table, _ = bench(spark, 12)
-    items = op4_decontamination.Items(table)
+    items = op4_decontamination.Items(table.select("item_id", "text").toArrow())
     rows = docs(spark, [(i, words(100, i, 40) + " " + words(20, 5000 + i % 3, 4000), "a") for i in range(60)])
     from textloom.llm.packed import Stored
 
@@ -412,6 +531,33 @@ def test_url_trees_hold_out(spark):
     assert np.mean((p >= 0.5) == np.array([y for _, y in held])) >= 0.97
 
 
+def test_training_on_few_distinct_urls(spark):
+    """2,000,000 rows of 5 URLs: all 5 are drawn, and two classes make trees."""
+    rows = spark.range(2_000_000).select(F.concat(F.lit("https://a"), (F.col("id") % 5).cast("string"), F.lit(".example.com/x")).alias("url"), (F.col("id") % 5 < 2).cast("int").alias("label"))
+    model = op5_urls.train(rows)
+    assert model.trees and abs(model.base - 0.4) < 1e-9
+    one = drawn(spark.range(100_000).select(F.lit(7).cast("long").alias("o"), "id"), "o", 50)
+    assert one.count() == 50
+
+
+def test_url_scores_against_brute_force(spark):
+    """The trees' scores by walking each tree for each URL, from features made one by one."""
+    model = op5_urls.train(spark.createDataFrame(urls(400, 3), "url string, label int"))
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls(60, 4))], "page_id long, url string")
+    for r in op5_urls.score(pages, model).collect():
+        x, one, two = op5_urls.features(pa.array([r.url]))
+        x = [*x[0], model.rates[0].get(one[0], model.base), model.rates[1].get(two[0], model.base)]
+        bins = [sum(e < v for e in edges) for edges, v in zip(model.edges, x)]
+        margin = model.start
+        for levels, value in model.trees:
+            node = 0
+            for where in levels:
+                feature, cut = where[node]
+                node = node * 2 + int(bins[feature] > cut)
+            margin += value[node]
+        assert abs(1 / (1 + np.exp(-margin)) - r.score) < 1e-9 and r.blocked == (r.score >= 0.5)
+
+
 def test_urls_awkward(spark):
     pages = spark.createDataFrame([(1, None, "x"), (2, "", None), (None, "HTTP://A-b.C:80/p?q#f", "x"), (3, "no scheme", "x"), (3, "no scheme", "x"), (4, "http://" + "a" * 100_000, ""), (5, "http://ex.ämple/ü\nx#y\nz", "")], "page_id long, url string, score string")
     model = op5_urls.train(op5_urls.seeds(pages, ("a-b",)).union(spark.createDataFrame([(None, 1), ("x", None)], "url string, label int")))
@@ -505,9 +651,41 @@ def test_repeats_against_brute_force(spark, size):
     rows = repeat_rows(size)
     table = docs(spark, [(i, t, "a") for i, t in rows])
     want = brute_repeats(rows, size)
-    for run in (op7_suffixes.repeats, op8_windows.repeated_windows):
+    for run in (op7_suffixes.repeats, partial(op7_suffixes.repeats, whole=True), op8_windows.repeated_windows):
         got = {(-(2**63) if r.doc_id is None else r.doc_id, r.start_token, r.end_token, r.role) for r in run(table, size).collect()}
-        assert got == want, run.__module__
+        assert got == want, run
+
+
+def test_one_window_in_very_many_documents(spark):
+    """A passage in 60,000 documents: the count's bucket gets a row for each flush, not for each document."""
+    passage = words(60, 11)
+    table = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(passage + " u"), F.col("id").cast("string")).alias("text")).repartition(4)
+    for run in (op8_windows.repeated_windows, op7_suffixes.repeats):
+        got = run(table).groupBy("start_token", "end_token", "role").agg(F.count("*").alias("n"), F.min("doc_id").alias("d")).collect()
+        assert sorted(map(tuple, got)) == [(0, 60, "first", 1, 0), (0, 60, "later", 59_999, 1)]
+    key = np.zeros(5000, np.uint64)
+    least, again, later = combined(key, np.arange(5000)[::-1].copy(), np.zeros(5000, np.int32))
+    assert least.tolist() == [4999] and again.all() and len(later) == 4999
+
+
+def test_neighbours_are_compared_by_words():
+    words = np.array([5, 6, 7, 5, 6, 8, 5, 6, 7], np.uint64)
+    assert op7_suffixes.alike(words, np.array([0, 6, 3]), 3).tolist() == [True, False]
+    assert op7_suffixes.alike(words, np.array([0, 3, 6]), 2).tolist() == [True, True]
+
+
+def test_combined_by_brute_force():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 2, 400):
+        key, doc, pos, mark = r.integers(0, 90, n).astype(np.uint64), r.integers(-3, 3, n), r.integers(0, 3, n), r.integers(0, 9, n) == 0
+        least, again, later = combined(key, doc, pos, mark)
+        groups = defaultdict(list)
+        for i in range(n):
+            groups[int(key[i])].append(i)
+        want = {k: min((doc[i], pos[i]) for i in g) for k, g in groups.items()}
+        assert {int(key[i]): (doc[i], pos[i]) for i in least} == want and len(least) == len(want)
+        assert {int(key[i]): bool(a) for i, a in zip(least, again)} == {k: len(g) > 1 or bool(mark[g[0]]) for k, g in groups.items()}
+        assert sorted(later) == [i for i in range(n) if (doc[i], pos[i]) != want[int(key[i])]]
 
 
 def test_merged_order_is_a_suffix_array():
@@ -614,6 +792,48 @@ def test_license_scan(spark, awkward, empty):
         op10_licenses.scan(empty, coverage=0)
 
 
+def test_license_scan_finds_spread_words(spark):
+    text = op10_licenses.TEMPLATES["MIT text"].split()
+    table = docs(spark, [(1, " x1y ".join(text), "a"), (2, " z z z z z z ".join(text), "a"), (3, words(400, 3), "a")])
+    out = op10_licenses.scan(table).collect()
+    assert [(r.doc_id, r.license, r.coverage) for r in out] == [(1, "MIT text", 1.0)]
+    assert {r.doc_id for r in op10_licenses.scan(table, spread=8.0).collect()} == {1, 2}
+
+
+def longest(a, b):
+    """Brute force: a longest common subsequence of two lists."""
+    d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            d[i + 1][j + 1] = d[i][j] + 1 if x == y else max(d[i][j + 1], d[i + 1][j])
+    return d[-1][-1]
+
+
+def test_license_scan_against_brute_force(spark):
+    """Where a stretch's words hold a notice by a longest common subsequence, of words that are unique, the scan has it, and nothing else."""
+    r = random.Random(6)
+    notices = {f"n{k}": " ".join(f"k{k}w{j}" for j in range(4 + 3 * k)) for k in range(5)}
+    rows = []
+    for i in range(60):
+        k = i % 5
+        w = notices[f"n{k}"].split()
+        for _ in range(r.randrange(0, 3)):
+            w[r.randrange(len(w))] = "other"
+        gap = r.randrange(0, 4)
+        mixed = [x for y in w for x in [y, *["f"] * r.randrange(gap + 1)]]
+        rows.append((i, " ".join([*words(40, i).split(), *mixed, *words(30, 99 + i).split()]), "a"))
+    want = set()
+    for i, text, _ in rows:
+        t = text.split()
+        for name, notice in notices.items():
+            n = notice.split()
+            wide = int(op10_licenses.SPREAD * len(n)) + 1
+            if max(longest(n, t[a : a + wide]) for a in range(len(t))) >= op10_licenses.COVERAGE * len(n):
+                want.add((i, name))
+    got = {(x.doc_id, x.license) for x in op10_licenses.scan(docs(spark, rows), notices).collect()}
+    assert got == want and len(want) > 20
+
+
 def test_license_scan_finds_close_copies(spark):
     t = op10_licenses.TEMPLATES
     sparse = "Released xx under yy the MIT License. Released under the MIT License."
@@ -641,6 +861,79 @@ def test_pipeline(spark, small, tmp_path):
     assert not toxic & set(ids)
 
 
+def cut_by_hand(rows, size):
+    """Texts without the tokens of later occurrences, as lists of tokens."""
+    gone = defaultdict(set)
+    for i, a, z, role in brute_repeats([(i, t) for i, t in rows], size):
+        if role == "later":
+            gone[i] |= set(range(a, z))
+    kept = {i: [w for k, w in enumerate(t.split()) if k not in gone[i]] for i, t in rows}
+    return {i: w for i, w in kept.items() if w or not gone[i]}
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage on what the one before kept: ids and tokens by hand from labels' scores, all pairs of signatures, all windows, common subsequences."""
+    import corpus_pipeline as p
+
+    toxic, labels = toxic_rows(120)
+    rows = [(i, t + " " + words(70, 1000 + i, 3000), "ab"[i % 2]) for i, t, _ in toxic]
+    passage, items = words(70, 31, 3000), {k: words(30, 400 + k, 3000) + ". " + words(8, 800 + k, 3000) for k in range(4)}
+    for i in range(121, 129):  # a shared passage; benchmark items; near copies
+        rows.append((i, words(60, i, 3000) + " " + passage + " " + words(50, 50 + i, 3000), "c"))
+        rows.append((i + 10, words(60, i + 10, 3000) + " " + items[i % 4] + " " + words(60, 90 + i, 3000), "c"))
+        rows.append((i + 20, rows[i - 121][1] + " more", None))
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    source, sf = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
+    now = {i: t for i, t, _ in rows}
+
+    def step(k, df):
+        out = p.STAGES[k][1](spark, df, sf)
+        assert k == 4 or out.columns == source.columns
+        out.write.parquet(f"{tmp_path}/stage{k}")
+        out = spark.read.parquet(f"{tmp_path}/stage{k}")
+        return out, {r.doc_id: r.text for r in out.collect()}
+
+    bad = {r.doc_id for r in op2_toxicity.score(source, spark.read.parquet(f"{sf}/labels.parquet")).collect() if r.toxic}
+    table, got = step(0, source)
+    now = {i: t for i, t in now.items() if i not in bad}
+    assert got == now and len(bad) > 15
+
+    sig = {r.doc_id: np.frombuffer(r.sig, np.uint8) for r in op3_neardup.signatures(table).collect()}
+    head = {i: i for i in sig}
+    for i in sorted(sig):
+        for j in sorted(sig):
+            if i < j and (sig[i] != sig[j]).sum() <= op3_neardup.THRESHOLD and head[i] != head[j]:
+                a, b = sorted((head[i], head[j]))
+                head = {k: a if h == b else h for k, h in head.items()}
+    table, got = step(1, table)
+    now = {i: t for i, t in now.items() if head[i] == i}
+    assert got == now and len(head) > len(now)
+
+    want = cut_by_hand(sorted(now.items()), op7_suffixes.LENGTH)
+    table, got = step(2, table)
+    assert {i: t.split() for i, t in got.items()} == want and got != now
+    now = got
+
+    def covered(w, tail, t):
+        for start in range(0, len(t), 16):
+            near = t[max(0, start - len(w)) : start + 32 + len(w)]
+            cover = longest(w, near) / len(w)
+            if cover >= op4_decontamination.COVER or cover >= op4_decontamination.PARTIAL and longest(w[-tail:], near) / tail >= op4_decontamination.ANSWERED:
+                return True
+        return False
+
+    leaked = {i for i, t in now.items() if any(len(set(w := x.replace(".", "").split()) & set(t.split())) > len(w) / 3 and covered(w, 8, t.split()) for x in items.values())}
+    table, got = step(3, table)
+    now = {i: t for i, t in now.items() if i not in leaked}
+    assert got == now and len(leaked) >= 6
+
+    table, got = step(4, table)
+    assert got == now and table.count() == len(now)
+    assert {r.doc_id: r.text for r in p.run(spark, sf).collect()} == now
+
+
 def test_pipeline_of_awkward_tables(spark, awkward, empty, tmp_path):
     import corpus_pipeline as p
 

@@ -1,7 +1,7 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, over a block-max inverted index.
 
 The labelled examples are a bounded sample (``EXAMPLES`` of either class), drawn by hash of the id.  Terms are stems, so that a word's inflected forms meet: each WORD token's first
-``SHORT`` bytes (all of it if it is shorter) and, of longer ones, the first ``SHORT`` + 1.  The space is spanned by all terms of the
+``STEM`` bytes, or all of it if it is shorter.  The space is spanned by all terms of the
 examples, weighted (1 + ln tf) * (1 + ln((1 + N) / (1 + df))), with df and N counted over all documents.  Everything else runs
 over all documents and whole texts, every document being a query.  A document's terms that no example has are outside
 the space and not in its norm; they would lower all its cosines by one factor, which neither the order nor the vote depends on.
@@ -19,7 +19,7 @@ Defined cases: a NULL or empty text, or one without a term of the index, has no
 not toxic; a NULL doc_id stays NULL; each row gives a row, so repeated rows repeat; labels that disagree count as
 toxic, NULL labels and labels of absent documents don't count; of a labelled doc_id with several texts the least text counts; an
 empty table gives none; without labels of both classes nothing is toxic; ties in cosine (to 6 digits) go to the lesser
-example id; very long texts are worked off whole, in memory of some 60 bytes for each of theirs; further columns are ignored.
+example id; very long texts are read in pieces of 8 MB, in memory by their number of tokens; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from .packed import Stored, batch, buckets, drawn, gather, lean, lean_table, pac
 from .text import NULL_ID, WORD, ids_of, mix, slices
 
 EXAMPLES, HEAD, BLOCK, EVIDENCE = 4096, 512, 64, 5
-KS, SHORT, CLEAN_COST = (5, 11, 21, 51, 101, 201, 401), 4, 3.0
+KS, STEM, CLEAN_COST = (5, 11, 21, 51, 101, 201, 401), 4, 3.0
 _TERMS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("h", pa.binary()), ("n", pa.binary())])
 RESULT = "doc_id long, vote double, score double, toxic boolean, evidence array<struct<doc_id: long, cosine: double, toxic: boolean>>"
 
@@ -55,21 +55,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES
     return sample, counts
 
 
-def stems(s) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of all stems of a slice, repeated ones as often as they occur."""
-    size, row = s.ends - s.starts, s.row_of()
+def stems(s) -> np.ndarray:
+    """The hashes of a slice's tokens' stems; the hash is one-to-one."""
+    size, last = s.ends - s.starts, max(0, len(s.buf) - 1)
     value = np.zeros(len(size), np.uint64)
-    last = max(0, len(s.buf) - 1)
-    for k in range(SHORT):
+    for k in range(STEM):
         value |= np.where(size > k, s.buf[np.minimum(s.starts + k, last)], 0).astype(np.uint64) << np.uint64(8 * k)
-    long = np.flatnonzero(size > SHORT)
-    more = value[long] | s.buf[s.starts[long] + SHORT].astype(np.uint64) << np.uint64(8 * SHORT)
-    return np.concatenate([row, row[long]]), mix(np.concatenate([value, more]))  # mix is one-to-one
+    return mix(value)
 
 
 def _row_terms(s):
     """(row, hash, count) of a slice's distinct terms by row, ascending."""
-    row, h = stems(s)
+    row, h = s.row_of(), stems(s)
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
@@ -117,10 +114,9 @@ def _document_frequency(terms, n_parts: int):
         for b in batches:
             for s in slices(b.column(0), WORD, lower=True):
                 docs += len(s.first) - 1
-                row, h = stems(s)
-                t = look(h)
+                t = look(stems(s))
                 keep = t >= 0
-                pair = np.unique(row[keep] * len(look.terms) + t[keep])
+                pair = np.unique(s.row_of()[keep] * len(look.terms) + t[keep])
                 count += np.bincount(pair % max(1, len(look.terms)), minlength=len(look.terms))[: len(look.terms)]
         schema = pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("counts", pa.binary())])
         if docs:
@@ -238,10 +234,9 @@ def _scored(shared, ks: tuple[int, ...]):
             if not index.n:
                 yield s, [np.full(rows, np.nan)] * len(ks), np.zeros((rows, 0), np.int64), np.zeros((rows, 0))
                 continue
-            row, h = stems(s)
-            t = look(h)
+            t = look(stems(s))
             keep = t >= 0
-            pair, tf = np.unique(row[keep] * len(index.terms) + t[keep], return_counts=True)
+            pair, tf = np.unique(s.row_of()[keep] * len(index.terms) + t[keep], return_counts=True)
             row, term = np.divmod(pair, len(index.terms))
             weight = (1 + np.log(tf)) * index.idf[term]
             weight = weight / np.sqrt(np.maximum(np.bincount(row, weight**2, minlength=rows), 1e-12))[row]
@@ -369,7 +364,9 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None, thresh
                 ends = np.concatenate([[0], np.cumsum(some.sum(axis=1))]).astype(np.int32)
                 chosen = top[some]
                 evidence = pa.StructArray.from_arrays([pa.array(index.ids[chosen], pa.int64()), pa.array(cosine[some]), pa.array(index.toxic[chosen] > 0.5)], names=["doc_id", "cosine", "toxic"])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.rows.start, rows), pa.array(vote, mask=np.isnan(vote)), pa.array(p), pa.array(p >= threshold), pa.ListArray.from_arrays(pa.array(ends), evidence)], names=["doc_id", "vote", "score", "toxic", "evidence"])
+                columns = [b.column(0).slice(s.rows.start, rows), pa.array(vote, mask=np.isnan(vote)), pa.array(p), pa.array(p >= threshold)]
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), evidence))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "vote", "score", "toxic", "evidence"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), RESULT)
 

@@ -396,8 +396,6 @@ def _suffixes(shared, length: int, m: int):
             group[order] = np.cumsum(np.concatenate([[False], ~alike(c.words, at[order], length)])) if len(at) else 0
             doc, pos = c.doc[c.region[at]], (c.start[c.region[at]] + c.place[at]).astype(np.int32)
             least, twice, later = combined(group, doc, pos, c.twice[c.region[at]] > 0)
-            back = np.argsort(least)
-            least, twice = least[back], twice[back]
             h = window_hashes(c.words, length)[at[least]]
             t0, t1, t2, kind, d, p = t0[least], t1[least], t2[least], kind[least], doc[least], pos[least]
             r = [x[least] for x in r]
@@ -478,7 +476,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     n = n or buckets(spark)
     size = max(2, length // 2) if length != LENGTH else ANCHOR
-    m = max(4, n // 4)
+    m = max(4, n // 2)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if whole:
         regions = Stored(rows.mapInArrow(lean(_whole(length, n, m)), _ddl(_REGION)).groupBy("chunk").applyInArrow(lean_table(_distinct(n)), _ddl(_REGION)), "regions")

@@ -100,7 +100,7 @@ def split(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 def combined(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, marked: np.ndarray | None = None):
     """Of occurrences by key: (places of each key's least (doc, pos), whether it occurs again, places of all that aren't the least).
 
-    Occurrences at the least one's own (doc, pos) are dropped; they, and ``marked`` ones, make it one that occurs again.
+    All places ascend.  Occurrences at the least one's own (doc, pos) are dropped; they, and ``marked`` ones, make it one that occurs again.
     """
     order = np.argsort(key)
     k = key[order]
@@ -119,7 +119,8 @@ def combined(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, marked: np.ndarr
     least[again] = at[new]
     if marked is not None and len(first):
         again = again | np.logical_or.reduceat(marked[order], first)
-    return least, again, at[(doc[at] != doc[head]) | (pos[at] != pos[head])]
+    order = np.argsort(least)  # in the order of occurrence documents and positions deflate well
+    return least[order], again[order], np.sort(at[(doc[at] != doc[head]) | (pos[at] != pos[head])])
 
 
 def gather(column) -> np.ndarray:
