@@ -2,13 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the folder of
 spark.checkpoint.dir and read again as the next stage's documents.  All but the last return the columns of documents; the last adds
-epoch, shard and position.
+epoch, shard, position and repeats.
 
 1. toxicity: documents whose calibrated score reaches the threshold go.
 2. near_duplicates: of each group of near copies the document of the least id stays.
 3. repeated_passages: later occurrences of runs of 50 tokens are cut from the texts; documents that nothing is left of go.
 4. decontamination: documents that leak a benchmark item go.
-5. mixing: every document once, sources in proportion to what is left of them, in shuffled shards.
+5. mixing: sources by tempered weights, in shuffled shards.  Every document that is left has one row, with the place of its first draw; a
+   scarce source's are drawn again, at the places in repeats.  op1_mixing.unfold makes a row of every draw.
 
 Tables may be empty or have NULLs, repeated rows and further columns; each stage's module states what comes of them.
 """
@@ -42,7 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op1_mixing.mix(docs, power=1.0)  # other weights need repeats or leave documents out
+    return op1_mixing.mix(docs, fold=True)
 
 
 STAGES = [

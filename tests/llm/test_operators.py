@@ -167,6 +167,30 @@ def test_pipeline_mixing_keeps_every_document_once(spark):
     assert sorted(r.doc_id for r in p.mixing(spark, docs(spark, rows), "").collect()) == list(range(308))
 
 
+def test_pipeline_mixing_draws_by_tempered_weights(spark):
+    """Documents once, but their places are those of the operator's draws, with repeated rows, NULL ids and clashing columns."""
+    import corpus_pipeline as p
+
+    rows = [(i, f"text {i}", "a" if i < 300 else "b") for i in range(307)] + [(307, "stray", None)] + [(3, "text 3", "a")] * 2 + [(301, "text 301", "b")] * 2
+    rows += [(None, f"none {i % 2}", "b") for i in range(3)]
+    table = docs(spark, rows).withColumns({"repeats": F.lit("mine"), "shard": F.lit(7.5)})
+    out = p.mixing(spark, table, "")
+    assert out.columns == [*docs(spark, []).columns, "epoch", "shard", "position", "repeats"] and out.count() == len(rows)
+    draws, want = op1_mixing.unfold(out), op1_mixing.mix(table.drop("repeats"))
+    assert draws.columns == want.columns and Counter(draws.collect()) == Counter(want.collect())
+    n, counts = Counter(r.source for r in draws.collect()), Counter(s for _, _, s in rows)
+    assert all(abs(n[s] - counts["a"] * (k / counts["a"]) ** 0.7) < 4 for s, k in counts.items()) and n["b"] > 2 * counts["b"]  # repeated rows are drawn together
+    at = Counter((r.shard, r.position) for r in draws.collect())
+    assert set(at) == {(j, i) for j in {j for j, _ in at} for i in range(sum(1 for k, _ in at if k == j))} and set(at.values()) == {1}
+
+
+def test_folded_mixing_leaves_out_what_is_not_drawn(spark, awkward, empty):
+    for table, kind in ((awkward, {"weights": {"a": 1, "c": 1}, "total": 5}), (awkward, {"total": 40}), (awkward, {"weights": {None: 1.0}}), (empty, {}), (awkward, {"total": 0})):
+        key = ["doc_id", "text", "epoch", "shard", "position"]
+        want = op1_mixing.mix(table, shards=3, block=1, **kind).select(key).collect()
+        assert Counter(op1_mixing.unfold(op1_mixing.mix(table, shards=3, block=1, fold=True, **kind)).select(key).collect()) == Counter(want)
+
+
 def test_mixing_awkward(awkward, empty):
     assert op1_mixing.mix(awkward, power=1.0).count() == awkward.count()
     assert op1_mixing.mix(awkward, {None: 1.0}).count() == 2

@@ -12,7 +12,8 @@ A document's shard follows from where its hash lies between those of the documen
 range), added up, tell in which range each end lies; only those ranges are ranked.  So texts are moved once, to their shard, and a
 hot source is nowhere in one task.  Positions in a shard are ranks in hash ranges of the shard, after counts of those.
 
-Where ``total`` asks for more than a source has, its order is gone through again (``epoch`` counts the passes).
+Where ``total`` asks for more than a source has, its order is gone through again (``epoch`` counts the passes).  A folded result has
+one row a document with the places of all its draws: these are ranked without texts and meet the texts in one exchange by document.
 
 Defined cases: a NULL source is a source of its own, 'NULL' in ``weights`` by key None; sources without a weight have
 weight 0; repeated rows count each; an empty table, or none of the weighted sources, gives no rows; NULL texts and ids are kept like any
@@ -30,6 +31,7 @@ from pyspark.sql import Window as W
 from .packed import Stored
 
 SHARDS, BLOCK, SEED, POWER, BROADCAST_SOURCES = 16, 64, 17, 0.7, 4096
+PLACE = ["epoch", "shard", "position"]
 
 
 def quotas(counts: dict, weights: dict, total: int | None = None) -> dict:
@@ -83,15 +85,18 @@ def _reached(end, epoch, h, key, row):
     return (epoch > end["epoch"]) | ((epoch == end["epoch"]) & beyond)
 
 
-def mix(docs: DataFrame, weights: dict | None = None, total: int | None = None, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, power: float = POWER, columns: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, total: int | None = None, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, power: float = POWER, columns: list[str] | None = None, fold: bool = False) -> DataFrame:
     """The drawn rows with epoch, shard and position (from 0 in each shard); ``columns`` are kept, all by default.
 
+    With ``fold`` a document's draws are one row: its first draw's epoch, shard and position, and those of the others in the array
+    ``repeats``; ``unfold`` makes the rows of the draws again.
+
     ``weights`` by source; tempered counts by default, and then every document is drawn unless a ``total`` is given. Counts are of all documents. The driver holds (sources x shards) numbers.
     """
     if shards < 1 or block < 1 or (total is not None and total < 0):
         raise ValueError("shards and block must be positive, total not negative")
     spark = docs.sparkSession
-    keep = [c for c in (columns or docs.columns) if c not in ("shard", "position", "epoch")]
+    keep = [c for c in (columns or docs.columns) if c not in ("shard", "position", "epoch", *(["repeats"] if fold else []))]
     ordered = docs.select(*{*keep, "doc_id", "source"})
     hashed = sorted(c for c, kind in ordered.dtypes if "map<" not in kind and kind not in ("variant", "void"))
     row = F.xxhash64(*[F.col(c) for c in hashed])
@@ -151,6 +156,25 @@ def mix(docs: DataFrame, weights: dict | None = None, total: int | None = None,
     starts = spark.createDataFrame(first, "__s2 int, __r2 int, __first long")
     starts = F.broadcast(starts) if len(first) <= 256 * BROADCAST_SOURCES else starts
     within = W.partitionBy("__shard", "__lr").orderBy("__l", "__key", "__epoch", "__row")
-    packed = drawn.select(F.struct(*keep).alias("__doc"), "__shard", "__lr", "__l", "__key", "__epoch", row.alias("__row"))
+    doc = F.struct(*keep).alias("__doc")
+    packed = drawn.select("__h" if fold else doc, "__shard", "__lr", "__l", "__key", "__epoch", row.alias("__row"))
     out = packed.withColumn("__n", F.row_number().over(within) - 1).join(starts, (F.col("__shard") == F.col("__s2")) & (F.col("__lr") == F.col("__r2")))
-    return out.select(*[F.col("__doc").getField(c).alias(c) for c in keep], F.col("__epoch").cast("int").alias("epoch"), F.col("__shard").alias("shard"), (F.col("__first") + F.col("__n")).cast("long").alias("position"))
+    place = [F.col("__epoch").cast("int").alias("epoch"), F.col("__shard").alias("shard"), (F.col("__first") + F.col("__n")).cast("long").alias("position")]
+    fields = [F.col("__doc").getField(c).alias(c) for c in keep]
+    if not fold:
+        return out.select(*fields, *place)
+    # Equal rows are drawn together, so in each epoch the n-th of them takes the n-th of their places.
+    same = ["__h", "__key", "__row"]
+    texts = ordered.select("__h", "__key", row.alias("__row"), doc)
+    both = texts.unionByName(out.select(*same, F.struct(*place).alias("__draw")), allowMissingColumns=True).repartition(*same)
+    both = both.withColumn("__copy", F.row_number().over(W.partitionBy(*same, "__draw.epoch").orderBy("__draw.shard", "__draw.position")))
+    met = both.groupBy(*same, "__copy").agg(F.first("__doc", ignorenulls=True).alias("__doc"), F.sort_array(F.collect_list("__draw")).alias("__draws")).where(F.size("__draws") > 0)
+    first = F.col("__draws")[0]
+    return met.select(*fields, *[first[c].alias(c) for c in PLACE], F.slice("__draws", 2, F.size("__draws")).alias("repeats"))
+
+
+def unfold(mixed: DataFrame) -> DataFrame:
+    """A row a draw from the rows of documents that ``mix`` gives with ``fold``: the rows that it gives without."""
+    kept = [c for c in mixed.columns if c not in (*PLACE, "repeats")]
+    draws = F.concat(F.array(F.struct(*PLACE)), "repeats")
+    return mixed.select(*[F.col(f"`{c}`") for c in kept], F.explode(draws).alias("__draw")).select(*[F.col(f"`{c}`") for c in kept], *[F.col("__draw")[c].alias(c) for c in PLACE])
