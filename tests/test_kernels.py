@@ -256,6 +256,11 @@ def test_signals():
             bad()
 
 
+def test_weights_are_rounded_once():
+    assert signals.savgol_weights(5, 2, 1).tolist() == [-0.2, -0.1, 0.0, 0.1, 0.2]
+    assert signals.savgol_weights(5, 2, 2).tolist() == [2 / 7, -1 / 7, -2 / 7, -1 / 7, 2 / 7] and signals.savgol_weights(5, 3)[1] == 12 / 35
+
+
 def test_adapters():
     assert adapt(HashEmbedder())(["a"])[0].shape == (64,)
     assert adapt(len) is len

@@ -115,6 +115,31 @@ def test_series(spark):
     assert max(abs(a - b) for a, b in zip(got, want)) < 1e-6
 
 
+def test_minima_at_the_limits(spark, tmp_path):
+    """Slopes of exactly 2 and curvatures of exactly 0 fall as in SQL, whose sums are rounded in the same places."""
+    import random
+
+    import duckdb
+    from oracle import same
+
+    pick, rows = random.Random(3), []
+    while len(rows) < 5 * 600:
+        a, b, m, d = (pick.randrange(12000) for _ in range(4))
+        if len(rows) % 2:
+            twice = pick.choice((2000, -2000)) + 2 * a + b - d
+        else:
+            d = max(0, 2 * a - m + pick.randrange(-900, 900))
+            twice = b + 2 * m + d - 2 * a
+        if twice % 2 == 0 and twice >= 0:
+            rows += [(len(rows) + i, len(rows) // 5, v / 100) for i, v in enumerate((a, b, m, d, twice // 2))]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("local_minima", "savgol_d1", "savgol_smooth"):
+        ok, what = same(spark, db, name, str(tmp_path))
+        assert ok, what
+
+
 def test_documents(spark, tmp_path):
     (tmp_path / "a.md").write_text("# T\n\nprose\n")
     (tmp_path / "b.csv").write_text("a,b\n1,2\n")

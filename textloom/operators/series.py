@@ -30,8 +30,6 @@ def _convolved(weights) -> Column:
     inner: Column = F.lit(0.0)
     edge: Column = F.lit(0.0)
     for j, weight in zip(range(-half, half + 1), weights):
-        if weight == 0:
-            continue
         place = F.when(i + j < 0, -(i + j)).otherwise(i + j)
         place = F.when(place >= n, 2 * n - place - 2).otherwise(place)
         place = F.least(F.greatest(place, F.lit(0)), n - 1)
