@@ -115,6 +115,35 @@ def test_series(spark):
     assert max(abs(a - b) for a, b in zip(got, want)) < 1e-6
 
 
+def test_chunkers_take_large_batches_in_parts(spark, monkeypatch):
+    """Python objects of a part of a batch at a time, with the rows of a whole one; NULLs, empty and large texts included."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from textloom.kernels import chunkers as K
+    from textloom.kernels.spans import counter
+
+    held = []
+    df = spark.createDataFrame([(1, "x")], "k long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: held.append(run))
+    ops.chunk_recursive(df, chunk_size=512)
+    texts = [None, "", "ü" * 700_000, *("Some words, and more of them. " * 100 for _ in range(2000)), None, "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string()).cast(pa.binary())], names=["k", "__data"])
+    o, c = K.RecursiveOptions(chunk_size=512), counter("character")
+    want = [(k, n, s, e) for k, t in enumerate(texts) if t is not None for n, (s, e, _) in enumerate(K.recursive_chunks(t.encode(), o, c))]
+    got = [r for b in held[0](iter([batch])) for r in zip(*(b.column(x).to_pylist() for x in ("k", "chunk_index", "start_index", "end_index")))]
+    assert got == want
+    some = batch.slice(3, 2000)
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in held[0](iter([some])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == sum(2 < k < 2003 for k, *_ in want) and peak < 4 << 20 < some.nbytes - (1 << 20), (peak, some.nbytes)
+    ops.chunk_semantic(df, lambda texts: [[float(len(t))] for t in texts])
+    ks = [k for b in held[1](iter([batch.slice(0, 2), some.slice(0, 900)])) for k in b.column("k").to_pylist()]
+    assert ks == sorted(ks) and set(ks) == set(range(3, 903))
+
+
 def test_minima_at_the_limits(spark, tmp_path):
     """Slopes of exactly 2 and curvatures of exactly 0 fall as in SQL, whose sums are rounded in the same places."""
     import random

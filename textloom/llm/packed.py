@@ -7,7 +7,6 @@ and deflated by zstd, so that ids and positions, which differ in their low bytes
 from __future__ import annotations
 
 import atexit
-import ctypes
 import shutil
 import tempfile
 import time
@@ -20,20 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-_trimmed = [0.0]
-
-
-def trim() -> None:
-    """Gives memory that is free back to the system, so that a worker kept for the next task holds little; every 2 seconds at most."""
-    if time.monotonic() - _trimmed[0] < 2:
-        return
-    _trimmed[0] = time.monotonic()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except AttributeError:  # a C library without it
-        pass
+from ..kernels.memory import trim
 
 
 def lean(run):

@@ -9,16 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..kernels import chunkers as K
+from ..kernels.memory import trim
 from ..kernels.spans import counter, encode_all, include_mode, lines, split
 from ..kernels.windows import ByteOptions, byte_chunks
 
-MOST_BYTES = 8 << 20
+MOST_BYTES = 1 << 20
 _CHUNK = [T.StructField("chunk_index", T.LongType()), T.StructField("start_index", T.LongType()), T.StructField("end_index", T.LongType()), T.StructField("token_count", T.LongType()), T.StructField("text", T.StringType())]
 
 
@@ -51,7 +54,8 @@ def expand(df: DataFrame, column: str, fields: list[T.StructField], kernel: Call
     """Rows of ``df`` repeated for each tuple that the kernel makes of ``column``; ``kernel()`` is built once a task.
 
     It takes the bytes of a row, or with ``batched`` a list of them (of ``MOST_BYTES`` or one row) and gives the rows' tuples one by one.
-    A column of ``df`` with the name of a new one is replaced, ``column`` included.
+    A column of ``df`` with the name of a new one is replaced, ``column`` included.  Whatever the size of Spark's batches, Python objects
+    are made of ``MOST_BYTES`` of them (or one row) at a time, as many go out, and free memory is given back as the task goes on.
     """
     if column not in df.columns:
         raise ValueError(f"no column {column!r}")
@@ -65,32 +69,38 @@ def expand(df: DataFrame, column: str, fields: list[T.StructField], kernel: Call
         for b in batches:
             if arrow is None:
                 arrow = pa.schema([b.schema.field(i) for i in range(len(others))] + [pa.field(f.name, _arrow(f.dataType)) for f in fields])
-            rows = _Rows(b, list(range(len(others))), fields, arrow)
-            for i, found in _made(b.column(len(others)).to_pylist(), made, batched):
-                for values in found:
-                    rows.add(i, values, 64 + sum(len(v) for v in values if isinstance(v, (bytes, str))))
-                    if rows.bytes >= MOST_BYTES:
-                        yield rows.flush()
-            if rows.row:
-                yield rows.flush()
+            for part in _parts(b, len(others)):
+                rows = _Rows(part, list(range(len(others))), fields, arrow)
+                for i, found in _made(part.column(len(others)).to_pylist(), made, batched):
+                    for values in found:
+                        rows.add(i, values, 64 + sum(len(v) for v in values if isinstance(v, (bytes, str))))
+                        if rows.bytes >= MOST_BYTES:
+                            yield rows.flush()
+                if rows.row:
+                    yield rows.flush()
+                del rows, part
+                trim()
 
     return source.mapInArrow(run, schema)
 
 
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``MOST_BYTES`` of a binary column, or of one row, whose column counts as 64 bytes more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MOST_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _made(column: list[bytes | None], kernel, batched: bool) -> Iterator[tuple[int, Iterable[tuple]]]:
     """(row, its tuples) of the rows that aren't NULL."""
     known = [(i, data) for i, data in enumerate(column) if data is not None]
     if not batched:
         yield from ((i, kernel(data)) for i, data in known)
-        return
-    at = 0
-    while at < len(known):
-        size, end = 0, at
-        while end < len(known) and (end == at or size + len(known[end][1]) <= MOST_BYTES):
-            size += len(known[end][1])
-            end += 1
-        yield from zip((i for i, _ in known[at:end]), kernel([data for _, data in known[at:end]]))
-        at = end
+    elif known:
+        yield from zip((i for i, _ in known), kernel([data for _, data in known]))
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
